@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, simhash
+from . import decontam, langid, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,16 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fitted(docs, labels, ~held_out)
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op9_quality": op9_quality}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {}
