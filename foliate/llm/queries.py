@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, simhash, toxicity
+from . import decontam, langid, quality, simhash, spiece, tokenfile, toxicity
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizers package keeps a vocabulary; every executor has it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +43,15 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = spiece.model_bytes(tokenizer_file("piece_bpe_32k.model"))
+    return spiece.round_trips(table(spark, sf_dir, "documents"), model)
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.stored(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = langid.held_out(F.col("doc_id"), 5, 0)
@@ -47,5 +63,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op5_sentencepiece": op5_sentencepiece, "op6_token_ids": op6_token_ids, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {}
