@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, simhash, spiece, tokenfile, toxicity
+from . import decontam, htmltext, langid, quality, simhash, spiece, tokenfile, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,6 +52,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.stored(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = langid.held_out(F.col("doc_id"), 5, 0)
@@ -63,5 +67,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op5_sentencepiece": op5_sentencepiece, "op6_token_ids": op6_token_ids, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op5_sentencepiece": op5_sentencepiece, "op6_token_ids": op6_token_ids, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {}
