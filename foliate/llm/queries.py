@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, quality, simhash, spiece, tokenfile, toxicity
+from . import decontam, htmltext, langid, quality, simhash, spans, spiece, tokenfile, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -67,5 +67,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op5_sentencepiece": op5_sentencepiece, "op6_token_ids": op6_token_ids, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("_sentences").alias("n_sentences"), F.col("_removed_count").alias("n_removed"), F.col("_removed").alias("removed"))
+
+
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op5_sentencepiece": op5_sentencepiece, "op6_token_ids": op6_token_ids, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_sentence_spans": op10_sentence_spans}
 ORACLE_SQL: dict[str, str] = {}
