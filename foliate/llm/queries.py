@@ -45,7 +45,7 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = spiece.model_bytes(tokenizer_file("piece_bpe_32k.model"))
-    return spiece.round_trips(table(spark, sf_dir, "documents"), model)
+    return spiece.encoded(table(spark, sf_dir, "documents"), model, check=True).drop("ids")
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

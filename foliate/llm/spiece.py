@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import chunks
+from .columns import appended
 from .piececache import CachedEncoder
 
 SPACE = "▁"
@@ -155,48 +155,34 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
-    """(key, ids, n_tokens, ids_crc32[, decoded]): each whole text's ids; null and empty texts have none.
+def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", decode: bool = False, check: bool = False) -> DataFrame:
+    """(key, ids, n_tokens, ids_crc32[, decoded][, round_trip]): each whole text's ids; null and empty texts have none.
 
-    `model` is the file's content, sent with the plan: a vocabulary has a fixed size. `decoded` is the text made from
-    the ids again. Rows with equal keys each get a row; other columns are not read.
+    `model` is the file's content, sent with the plan: a vocabulary has a fixed size. `decoded` is the text made from the
+    ids again, `round_trip` whether it is the text as the model normalises it. Rows with equal keys each get a row; other
+    columns are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         codec = Codec(model)
-        for batch in chunks(batches, "text", 1 << 20):
-            flat, sizes = codec.encode(batch.column(1).to_pylist())
+
+        def work(column: pa.Array) -> list[pa.Array]:
+            texts = column.to_pylist()
+            flat, sizes = codec.encode(texts)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             raw = flat.astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))
-            columns = {"key": batch.column(0), "ids": ids, "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
-            if decode:
-                columns["decoded"] = pa.array(codec.decode(ids.to_pylist()), pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>, n_tokens long, ids_crc32 long" + ", decoded string" * decode).withColumnRenamed("key", key)
+            out = [ids, pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
+            if decode or check:
+                back = codec.decode(ids.to_pylist())
+                want = [codec.normal(t or "").replace(SPACE, " ") for t in texts]
+                same = [b == (w[1:] if codec.model.dummy_prefix else w) for b, w in zip(back, want, strict=True)]
+                out += [pa.array(back, pa.string())] * decode + [pa.array(same)] * check
+            return out
 
+        return work
 
-def round_trips(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_crc32, round_trip): sizes and checksums of the ids, and whether they decode to the text as the model normalises it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
-        for batch in chunks(batches, "text", 1 << 20):
-            texts = batch.column(1).to_pylist()
-            flat, sizes = codec.encode(texts)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            raw = flat.astype("<u4").tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            flat = flat.tolist()
-            back = codec.decode([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-            want = [codec.normal(t or "").replace(SPACE, " ") for t in texts]
-            same = [b == (w[1:] if codec.model.dummy_prefix else w) for b, w in zip(back, want, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["key", "n_tokens", "ids_crc32", "round_trip"])
-
-    kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids_crc32 long, round_trip boolean").withColumnRenamed("key", key)
+    schema = "ids array<int>, n_tokens long, ids_crc32 long" + ", decoded string" * decode + ", round_trip boolean" * check
+    return appended(rows, "text", make, schema, 1 << 20).drop("text").withColumnRenamed("key", key)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks
+from .columns import appended
 
 #: Seed words of each class, in the languages of the corpus.
 SEEDS = {
@@ -246,18 +247,23 @@ def _logistic(x: np.ndarray, bad: np.ndarray, n: np.ndarray, ridge: float = 1.0,
     return w
 
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score): the probability of the label for each whole text; null, empty and wordless texts get the base rate."""
-    hot = model.finder()
-    empty = features("", model)
+def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """`docs` and the probability of the label for each whole text; null, empty and wordless texts get the base rate."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+    def make():
+        hot, empty = model.finder(), features("", model)
+
+        def work(column: pa.Array) -> list[pa.Array]:
             # A text without any such word matches no clause, so its features are those of the empty one.
-            rows = [features(t, model) if t and hot.search(t.lower()) else empty for t in batch.column(1).to_pylist()]
-            score = 1 / (1 + np.exp(-np.clip(np.array(rows) @ model.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["key", "score"])
+            rows = [features(t, model) if t and hot.search(t.lower()) else empty for t in column.to_pylist()]
+            return [pa.array(1 / (1 + np.exp(-np.clip(np.array(rows) @ model.weights, -30, 30))))]
+
+        return work
 
-    kind = docs.schema[key].dataType.simpleString()
+    return appended(docs, text, make, f"{name} double")
+
+
+def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of each row; other columns are not read."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return with_scores(rows, model).select(F.col("key").alias(key), "score")
