@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, quality, simhash, spans, spiece, tokenfile, toxicity
+from . import decontam, htmltext, langid, ngramlm, quality, simhash, spans, spiece, tokenfile, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_trigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.scored(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 10, 0))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -72,5 +76,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("_sentences").alias("n_sentences"), F.col("_removed_count").alias("n_removed"), F.col("_removed").alias("removed"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_winnowing": op4_winnowing, "op5_sentencepiece": op5_sentencepiece, "op6_token_ids": op6_token_ids, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_sentence_spans": op10_sentence_spans}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op3_trigram_trie": op3_trigram_trie, "op4_winnowing": op4_winnowing, "op5_sentencepiece": op5_sentencepiece, "op6_token_ids": op6_token_ids, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_sentence_spans": op10_sentence_spans}
 ORACLE_SQL: dict[str, str] = {}
