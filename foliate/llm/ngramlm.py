@@ -6,10 +6,14 @@ counts of all batches, builds its trie of contexts (two words) and successors, a
 order: exact counts of words, and quantised values of contexts and successors. Batch and answers meet again, and the texts are scored.
 So no table of n-grams is ever in one place, and a hot word or pair is one entry a batch, however often it occurs.
 
-With c a training count, d the discount, K the prior weight and n(uv) the successors seen after uv:
+With c a training count, d the discount, L the weight of pairs, n(uv) the successors seen after uv, N all tokens, V the
+distinct ones and V1 those seen once:
 
     p(w | uv) = max(c(uvw) - d, 0) / c(uv) + d n(uv) / c(uv) p(w | v)       and p(w | v) where uv is new
-    p(w | v)  = (c(vw) + K p(w)) / (c(v) + K),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w | v)  = L c(vw) / c(v) + (1 - L) p(w)                               and p(w) where v is new
+    p(w)      = (c(w) - V1 / V) / N, and V1 / N together for all words that training lacks (as one more type)
+
+Text that is only scored is mostly new, which is why the discount is high and the weight of pairs is low.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ from .bytetext import chunks, mixed, split
 from .eliasfano import Trie
 from .store import written
 
-DISCOUNT = 0.6
-PRIOR = 3.0
+DISCOUNT = 0.8
+PAIRS = 0.1
+#: Of the base score: added to every count.
 ALPHA = 0.1
+#: Bounds of V1 / V, for training sets too small to tell.
+ONCE = (0.05, 0.95)
 #: Tokens of a batch at least, but for the last of a task; and of a shard on average.
 BATCH_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 21
@@ -227,8 +234,8 @@ def _answered(asked: DataFrame, shards: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             shard = Shard([b for _, _, b in held])
-            kinds = int((shard.counts > 0).sum())
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in held], pa.int32()), pa.array([n for _, n, _ in held], pa.int64()), pa.array([shard.answer(b) for _, _, b in held], pa.binary()), pa.array([kinds] * len(held), pa.int64())], ["shard", "batch", "blob", "kinds"])
+            kinds, once = int((shard.counts > 0).sum()), int((shard.counts == 1).sum())
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in held], pa.int32()), pa.array([n for _, n, _ in held], pa.int64()), pa.array([shard.answer(b) for _, _, b in held], pa.binary()), *(pa.array([x] * len(held), pa.int64()) for x in (kinds, once))], ["shard", "batch", "blob", "kinds", "once"])
 
         for part in rows:
             for row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
@@ -239,14 +246,14 @@ def _answered(asked: DataFrame, shards: int) -> DataFrame:
         if held:
             yield done()
 
-    return asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, batch long, blob binary, kinds long")
+    return asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, batch long, blob binary, kinds long, once long")
 
 
 def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learning from those that are not held out.
 
     A null text is empty and has its end as its only token; a null `held_out` is false. Without training texts all
-    counts are zero and the words share what the prior leaves them. Rows with equal keys each get a row and each count in
+    counts are zero and every word is the one unknown type. Rows with equal keys each get a row and each count in
     training. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -255,8 +262,11 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     n_docs, n_tokens = int(trained[0]), int(trained[1])
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_tokens // SHARD_TOKENS + 1)
     answers = written(_answered(_asked(batches, shards), shards), "lm-answers")
-    n_kinds = int(answers.groupBy("shard").agg(F.max("kinds").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
+    by_shard = answers.groupBy("shard").agg(F.max("kinds").alias("k"), F.max("once").alias("o"))
+    n_kinds, n_once = map(int, by_shard.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first())
     floor = n_tokens + ALPHA * (n_kinds + 1)
+    off = min(max(n_once / max(n_kinds, 1), ONCE[0]), ONCE[1])
+    unknown = off * n_kinds / n_tokens if n_tokens else 1.0
 
     def score(keys: pa.Array, blob: bytes, parts: list[bytes]) -> pa.RecordBatch:
         b = _batch(blob)
@@ -264,17 +274,18 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         count = got[0].astype(np.int64)[b.word]
         total, spare, share = (_value(x.astype(np.int64)) for x in got[1:])
         n = len(b.tokens)
-        p1 = (count + ALPHA) / floor
+        base = (count + ALPHA) / floor
+        p1 = np.where(count > 0, (count - off) / max(n_tokens, 1), unknown)
         before = np.concatenate([[0], count[:-1]])
         before[b.previous == np.uint64(START)] = n_docs
         pair = total[b.context_of[b.trigram[b.next]]]
-        p2 = (pair + PRIOR * p1) / (before + PRIOR)
+        p2 = np.where(before > 0, PAIRS * pair / np.maximum(before, 1) + (1 - PAIRS) * p1, p1)
         ctx = b.context_of[b.trigram[:n]]
         known = total[ctx] > 0
         p3 = np.where(known, share[b.trigram[:n]] + spare[ctx] * p2, p2)
         edges = np.cumsum(b.sizes) - b.sizes
         sums = lambda x: np.add.reduceat(x, edges)
-        columns = [keys, pa.array(b.held), pa.array(b.sizes), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(edges), n_tokens)), pa.array(sums(np.log10(p1))), pa.array(sums(np.log10(np.minimum(p3, 1.0))))]
+        columns = [keys, pa.array(b.held), pa.array(b.sizes), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(edges), n_tokens)), pa.array(sums(np.log10(base))), pa.array(sums(np.log10(np.minimum(p3, 1.0))))]
         return pa.RecordBatch.from_arrays(columns, ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ def brute(rows):
     train = [seq[i] for i, (_, _, h) in enumerate(rows) if not h]
     one = Counter(w for s in train for w in s)
     n, v = sum(one.values()), len(one)
+    off = min(max(sum(c == 1 for c in one.values()) / v, 0.05), 0.95)
     two, three = Counter(), Counter()
     for s in train:
         p = ["S", "S", *s, "PAD"]
@@ -29,10 +30,11 @@ def brute(rows):
         p = ["S", "S", *seq[i]]
         base = score = 0
         for a, b, w in zip(p, p[1:], p[2:], strict=False):
-            p1 = (one[w] + 0.1) / (n + 0.1 * (v + 1))
-            p2 = (two[b, w] + ngramlm.PRIOR * p1) / (one[b] + ngramlm.PRIOR)
+            p0 = (one[w] + 0.1) / (n + 0.1 * (v + 1))
+            p1 = (one[w] - off) / n if one[w] else off * v / n
+            p2 = p1 if not one[b] else ngramlm.PAIRS * two[b, w] / one[b] + (1 - ngramlm.PAIRS) * p1
             p3 = p2 if not ctx[a, b] else (max(three[a, b, w] - ngramlm.DISCOUNT, 0) + ngramlm.DISCOUNT * kinds[a, b] * p2) / ctx[a, b]
-            base, score = base + math.log10(p1), score + math.log10(p3)
+            base, score = base + math.log10(p0), score + math.log10(p3)
         out.append((key, h, len(seq[i]), sum(one[w] > 0 for w in seq[i]), n, base, score))
     return sorted(out, key=lambda r: r[0])
 
