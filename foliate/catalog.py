@@ -327,3 +327,31 @@ def leaf_predicates(spark, sf_dir):
     above = fo.ancestors(f.leaves.select("level", "id"), 2).where("at_level < level").select(F.col("at_level").alias("level"), F.col("at_id").alias("id"), F.lit(True).alias("_above")).distinct()
     found = asked.join(leaves, ["level", "id"], "left").join(above, ["level", "id"], "left")
     return found.select("level", "id", F.coalesce("_leaf", F.lit(False)).alias("is_leaf"), F.coalesce("_above", F.lit(False)).alias("has_leaf_desc"))
+
+
+def _crosses_sql(level: str, id: str) -> str:
+    """Whether the circle around (32, 32) of radius 20 crosses an element, in units of level 6."""
+    x, y, h = unbits_sql(id, 2, 0, 6), unbits_sql(id, 2, 1, 6), f"(1 << (6 - {level}))"
+    near = lambda c: f"greatest({c} * {h} - 32, 0, 32 - ({c} + 1) * {h})"
+    far = lambda c: f"greatest(abs({c} * {h} - 32), abs(({c} + 1) * {h} - 32))"
+    return f"({near(x)} * {near(x)} + {near(y)} * {near(y)} <= 400 AND {far(x)} * {far(x)} + {far(y)} * {far(y)} >= 400)"
+
+
+@query(f"WITH RECURSIVE s(level, id) AS (SELECT 0, CAST(0 AS BIGINT) UNION ALL SELECT s.level + 1, s.id * 4 + c.i FROM s, (SELECT unnest(range(0, 4)) AS i) c WHERE s.level < 6 AND {_crosses_sql('s.level', 's.id')}) SELECT level, id FROM s WHERE level = 6 OR NOT {_crosses_sql('level', 'id')}")
+def refined_along_circle(spark, sf_dir):
+    """One tree refined recursively where a circle crosses its elements."""
+    x, y = morton.decode(F.col("id"), 2)
+    h = morton.shl(F.lit(1), 6 - F.col("level"))
+    near = lambda c: F.greatest(c * h - 32, F.lit(0).cast("long"), 32 - (c + 1) * h)
+    far = lambda c: F.greatest(F.abs(c * h - 32), F.abs((c + 1) * h - 32))
+    crosses = (near(x) * near(x) + near(y) * near(y) <= 400) & (far(x) * far(x) + far(y) * far(y) >= 400)
+    return fo.refine_recursive(fo.uniform(cmesh.single(spark, 2), 2, 0, 6), crosses).leaves.select("level", "id")
+
+
+_U5C = f"{_U5}, c5 AS (SELECT id, n, sum(n) OVER (PARTITION BY id >> 2) AS s4, sum(n) OVER (PARTITION BY id >> 4) AS s3, sum(n) OVER (PARTITION BY id >> 6) AS s2, sum(n) OVER (PARTITION BY id >> 8) AS s1, sum(n) OVER () AS s0 FROM n), placed AS (SELECT *, CASE WHEN s4 >= 60 THEN 5 WHEN s3 >= 60 THEN 4 WHEN s2 >= 60 THEN 3 WHEN s1 >= 60 THEN 2 WHEN s0 >= 60 THEN 1 ELSE 0 END AS level FROM c5)"
+
+
+@query(f"{_U5C} SELECT level, id >> (2 * (5 - level)) AS id, CAST(sum(n) AS BIGINT) AS n FROM placed GROUP BY 1, 2")
+def coarsened_recursively(spark, sf_dir):
+    """A uniform level merged upwards while families hold few events."""
+    return fo.coarsen_recursive(_level5(spark, sf_dir), F.sum("n") < 60, {"n": F.sum("n")}).leaves.select("level", "id", "n")

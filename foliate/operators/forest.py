@@ -85,6 +85,39 @@ def adapt(forest: Forest, refine: Column | None = None, coarsen: Column | None =
     return forest.derived(with_lo(out, dim, forest.maxlevel))
 
 
+def refine_recursive(forest: Forest, refine: Column) -> Forest:
+    """Refine leaves, and their new children in turn, while `refine` holds and the greatest level is not reached. Children copy their parent's columns.
+
+    A round looks only at the children that the last one made, and each is written to the shared folder; the rounds end when there are
+    none, at the greatest level at the latest.
+    """
+    columns = ["tree_id", "level", "id", *forest.payload]
+    wanted = F.coalesce(refine, F.lit(False)) & (F.col("level") < forest.maxlevel)
+    active, kept = forest.leaves.select(*columns), []
+    for _ in range(forest.maxlevel + 1):
+        marked = written(active.withColumn("_split", wanted), "refining")
+        kept.append(marked.where("not _split").select(*columns))
+        split = marked.where("_split")
+        if split.isEmpty():
+            break
+        active = children(split.select(*columns), forest.dim)
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return forest.derived(with_lo(out, forest.dim, forest.maxlevel))
+
+
+def coarsen_recursive(forest: Forest, coarsen: Column, merged: dict[str, Column] | None = None) -> Forest:
+    """Merge complete families for which the aggregate `coarsen` holds, and the families that form by that, until none is left."""
+    now = forest
+    for _ in range(forest.maxlevel):
+        after = now.derived(written(adapt(now, coarsen=coarsen, merged=merged).leaves, "coarsening"))
+        if after.leaves.count() == now.leaves.count():
+            return after
+        now = after
+    return now
+
+
 def ancestors(cells: DataFrame, dim: int, least: int = 0) -> DataFrame:
     """Each cell under itself and each of its ancestors: columns `at_level` and `at_id` besides its own."""
     up = cells.withColumn("at_level", F.explode(F.sequence(F.lit(least), F.col("level"))))
