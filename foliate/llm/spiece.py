@@ -8,6 +8,7 @@ whose joining is a piece, best score first.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ from .piececache import CachedEncoder
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Distinct pieces kept: some 30 MB in a Python worker.
+CACHED = 150_000
 #: Threads of the library in one Python worker.
 THREADS = 2
 
@@ -120,7 +122,7 @@ def normaliser(model: Model):
         if mapped is not None:
             text = mapped.normalize_str(text)
         if model.squeeze:
-            text = regex.sub(" +", " ", text).strip(" ")
+            text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
         return (SPACE if model.dummy_prefix else "") + text.replace(" ", SPACE)
@@ -128,7 +130,7 @@ def normaliser(model: Model):
     return run
 
 
-_RUNS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Codec:
@@ -143,7 +145,7 @@ class Codec:
         # Words are independent unless a piece holds the marker behind another character.
         apart = not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
         split = (lambda t: _RUNS.findall(self.normal(t))) if apart else (lambda t: [s] if (s := self.normal(t)) else [])
-        self.encode = CachedEncoder(split, lambda new: [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+        self.encode = CachedEncoder(split, lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], cached=CACHED)
         self.plain = np.array([kind in (NORMAL, USER) for _, _, kind in self.model.pieces])
 
     def decode(self, ids: list[list[int]]) -> list[str]:
