@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +13,14 @@ from pyspark.sql import functions as F
 from .bytetext import CHUNK_BYTES, chunks
 
 
+def _released() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and keep it otherwise."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def appended(docs: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """`docs` with the columns of `schema` (names and types, comma-separated) after its own.
 
@@ -26,6 +36,8 @@ def appended(docs: DataFrame, text: str, make: Callable[[], Callable[[pa.Array],
         work = make()
         for batch in chunks(batches, text, limit):
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(place))], [*batch.schema.names, *names])
+        del work
+        _released()
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{own}, {schema}")

@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks
-from .columns import appended
 
 #: Seed words of each class, in the languages of the corpus.
 SEEDS = {
@@ -191,7 +191,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
     model = Model(seed_classes())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             found: dict[str, list[int]] = {}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = set(tokens(t)) - _BREAKS
@@ -248,19 +248,17 @@ def _logistic(x: np.ndarray, bad: np.ndarray, n: np.ndarray, ridge: float = 1.0,
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """`docs` and the probability of the label for each whole text; null, empty and wordless texts get the base rate."""
+    """`docs` and the probability of the label for each whole text; null, empty and wordless texts get the base rate. Only the text goes to Python, and only the score comes back."""
 
-    def make():
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hot, empty = model.finder(), features("", model)
-
-        def work(column: pa.Array) -> list[pa.Array]:
+        for texts in batches:
             # A text without any such word matches no clause, so its features are those of the empty one.
-            rows = [features(t, model) if t and hot.search(t.lower()) else empty for t in column.to_pylist()]
-            return [pa.array(1 / (1 + np.exp(-np.clip(np.array(rows) @ model.weights, -30, 30))))]
-
-        return work
+            rows = np.array([features(t, model) if t and hot.search(t.lower()) else empty for t in texts]).reshape(-1, N_FEATURES)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(rows @ model.weights, -30, 30))))
 
-    return appended(docs, text, make, f"{name} double")
+    return docs.withColumn(name, score(F.col(text).cast("string")))
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
