@@ -55,10 +55,12 @@ class CachedEncoder:
             counts.append(len(pieces) - before)
         if len(self.slot) > self.cached:
             self._reset()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.slot]
-        if new:
+        found = list(map(self.slot.get, pieces))
+        if None in found:
+            new = list(dict.fromkeys(p for p, slot in zip(pieces, found, strict=True) if slot is None))
             self._add(new, self.encode(new))
-        at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+            found = list(map(self.slot.__getitem__, pieces))
+        at = np.array(found, np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
