@@ -1,9 +1,10 @@
 """Main text of web pages by differencing each page with its nearest page of the same host.
 
 Pages are sorted by host and URL path, so a page's neighbours are those with the nearest paths. The lines of a page and of its nearer
-neighbour are aligned by their longest common subsequence: what both hold is the site's template and goes. What the markup itself
-says goes too: menus, forms, scripts and the like by their elements, notices, adverts and comments by their names. Lines inside an article
-or main element are the page's own even where a neighbour has them, as one article is often served at two addresses.
+neighbour are aligned by their longest common subsequence: what both hold is the site's template and goes, inside articles as
+outside. What the markup itself says goes too: menus, forms, scripts and the like by their elements, notices, adverts and comments by
+their names. One text is often served at two addresses: a neighbour that holds the page's content, as told by its article or main
+element and by the other pages near it, is a copy and passed over for the next.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ _NAMED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
-#: Pages that share at least this part of their lines are copies of each other, which says nothing about a template.
+#: A page that holds at least this part of another's content, by characters, is its copy, which says nothing about a template.
 COPY_SHARE = 0.8
+#: Without a third page to tell content from template, copies differ in this part of their characters at most.
+SAME_SHARE = 0.02
+#: Pages on either side that are looked at.
+REACH = 2
 
 
 @dataclass
@@ -124,15 +129,36 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(page: list[Line], partner: list[Line] | None) -> str:
-    """The lines that neither the markup nor the partner page rules out."""
-    has_own = any(x.own and not x.dropped for x in page)
-    shared: set[int] = set()
-    if partner:
-        shared = common([x.text for x in page], [x.text for x in partner])
-        if len(shared) >= COPY_SHARE * min(len(page), len(partner)):
-            shared = set()
-    return "\n".join(x.text for i, x in enumerate(page) if not x.dropped and (x.own if has_own else i not in shared))
+def _weight(page: list[Line], at: set[int]) -> int:
+    return sum(len(page[i].text) for i in at)
+
+
+def template(page: list[Line], near: list[list[Line]]) -> set[int]:
+    """Positions in `page` of the lines that the nearest page in `near` which is no copy of it holds too."""
+    kept = {i for i, x in enumerate(page) if not x.dropped}
+    own = {i for i in kept if page[i].own}
+    total = _weight(page, kept)
+    texts = [x.text for x in page]
+    shared = [common(texts, [x.text for x in other]) for other in near]
+    left = [kept - x for x in shared]
+    for k, other in enumerate(near):
+        # What a third page leaves of this one is content, if that page has the template: a copy holds nearly all of it.
+        seen = [x for j, x in enumerate(left) if j != k and len(x) < len(kept) and _weight(page, x) > SAME_SHARE * total]
+        copy = all(_weight(page, x & left[k]) <= (1 - COPY_SHARE) * _weight(page, x) for x in seen)
+        theirs = sum(len(x.text) for x in other if x.own and not x.dropped)
+        if own and theirs:
+            copy = copy and _weight(page, own & shared[k]) >= COPY_SHARE * min(_weight(page, own), theirs)
+        else:
+            copy = len(shared[k]) >= COPY_SHARE * min(len(page), len(other))
+        if not copy:
+            return shared[k]
+    return shared[0] - own if near and own else set()
+
+
+def main_text(page: list[Line], near: list[list[Line]] | None) -> str:
+    """The lines that neither the markup nor the pages near it, nearest first, rule out."""
+    shared = template(page, near or [])
+    return "\n".join(x.text for i, x in enumerate(page) if not x.dropped and i not in shared)
 
 
 def _prefix(a: str, b: str) -> int:
@@ -148,8 +174,8 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     """(key, url, text): the main text of each page, empty where there is none.
 
     One shuffle deals pages out by ranges of host and path, so a host of any size is spread over tasks; each task reads its range in
-    order and holds three pages. A page at the edge of a range, or alone on its host, has one neighbour or none; the one with
-    the longer common path is its partner, the later of equals. Null pages and URLs count as empty; pages without a host are no
+    order and holds five pages. A page at the edge of a range, or of its host, has neighbours on one side or none; of the two pages
+    before and the two after, those with the longer common path come first, the nearer and then the later of equals. Null pages and URLs count as empty; pages without a host are no
     partners. Repeated rows each get a row; other columns are not read.
     """
     place = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)", 1)
@@ -157,13 +183,14 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.lower(place).alias("host"), path.alias("path"), F.col(page).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[tuple] = []  # earlier page, page
+        window: list[tuple] = []  # up to REACH pages before the one at `at`, it, and those after
+        at = 0
 
-        def settled(after: tuple | None) -> tuple:
-            before, own = (window[0] if len(window) == 2 else None), window[-1]
-            near = [x for x in (after, before) if x is not None and own[2] and x[2] == own[2]]
-            partner = max(near, key=lambda x: _prefix(x[3], own[3]), default=None)
-            return own[0], own[1], main_text(own[4], partner[4] if partner else None)
+        def settled() -> tuple:
+            own = window[at]
+            near = [(-_prefix(x[3], own[3]), abs(i - at), i < at, x) for i, x in enumerate(window) if i != at and own[2] and x[2] == own[2]]
+            near.sort(key=lambda x: x[:3])
+            return own[0], own[1], main_text(own[4], [x[3][4] for x in near])
 
         def batch_of(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((kind, pa.string(), pa.string()))], ["key", "url", "text"])
@@ -173,14 +200,20 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
             kind = batch.column(0).type
             done = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                now = (*row[:4], lines(row[4]))
-                if window:
-                    done.append(settled(now))
-                window = [*window[-1:], now]
+                window.append((*row[:4], lines(row[4])))
+                if len(window) > at + REACH:
+                    done.append(settled())
+                    at += 1
+                    if at > REACH:
+                        del window[0]
+                        at -= 1
             if done:
                 yield batch_of(done)
-        if window:
-            yield batch_of([settled(None)])
+        if at < len(window):
+            done = []
+            for at in range(at, len(window)):
+                done.append(settled())
+            yield batch_of(done)
 
     near = rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
     out = near.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, url string, text string")

@@ -52,3 +52,16 @@ def test_empty_table(spark):
 
 def test_very_long_page():
     assert len(htmltext.main_text(htmltext.lines("<p>" + "word " * 200_000 + "<p>" * 50_000 + "end"), None)) == 1_000_003
+
+
+def _texts(spark, pages):
+    rows = [(i, f"https://site.example/{i:03}", page) for i, page in enumerate(pages)]
+    return [r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).sort("page_id").collect()]
+
+
+def test_neighbours_decide_inside_and_outside_articles(spark):
+    page = lambda i: f"<div>Logo</div><p>teaser {i} of the day</p><article><p>By our staff</p><p>the long story number {i}</p></article><article><p>a second story {i}</p></article>"
+    want = lambda i: f"teaser {i} of the day\nthe long story number {i}\na second story {i}"
+    assert _texts(spark, [page(i) for i in range(6)]) == [want(i) for i in range(6)]
+    # The same text at two and at three addresses stays, and loses the template still.
+    assert _texts(spark, [page(i) for i in (0, 1, 1, 2, 3, 3, 3, 4)]) == [want(i) for i in (0, 1, 1, 2, 3, 3, 3, 4)]
