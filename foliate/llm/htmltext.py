@@ -148,8 +148,11 @@ def template(page: list[Line], near: list[list[Line]]) -> set[int]:
         theirs = sum(len(x.text) for x in other if x.own and not x.dropped)
         if own and theirs:
             copy = copy and _weight(page, own & shared[k]) >= COPY_SHARE * min(_weight(page, own), theirs)
-        else:
-            copy = len(shared[k]) >= COPY_SHARE * min(len(page), len(other))
+        elif not seen:
+            copy = _weight(page, left[k]) <= SAME_SHARE * total
+            if copy and len(near) > 1:
+                # Beside several pages with text of their own, one without any is bare template.
+                copy = sum(len(x.text) for x in other if not x.dropped) <= (1 + SAME_SHARE) * total
         if not copy:
             return shared[k]
     return shared[0] - own if near and own else set()

@@ -65,3 +65,12 @@ def test_neighbours_decide_inside_and_outside_articles(spark):
     assert _texts(spark, [page(i) for i in range(6)]) == [want(i) for i in range(6)]
     # The same text at two and at three addresses stays, and loses the template still.
     assert _texts(spark, [page(i) for i in (0, 1, 1, 2, 3, 3, 3, 4)]) == [want(i) for i in (0, 1, 1, 2, 3, 3, 3, 4)]
+
+
+def test_large_template_and_copies_without_articles(spark):
+    head = "".join(f"<div>part {k} of the site</div>" for k in range(40))
+    page = lambda i: head + "".join(f"<p>own line {k} of page {i}</p>" for k in range(5))
+    want = lambda i: "\n".join(f"own line {k} of page {i}" for k in range(5))
+    for pages in (range(2), range(7), (0, 1, 1, 2, 3)):
+        assert _texts(spark, [page(i) for i in pages]) == [want(i) for i in pages]
+    assert _texts(spark, [page(0), head, page(1), page(2)])[1] == ""
