@@ -72,3 +72,23 @@ def test_same_rows_and_unpunctuated_text(spark):
 
 def test_empty_table(spark):
     assert spans.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_unpunctuated_passages_in_differing_contexts(spark):
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for k, n in enumerate([51, 55, 60, 80] * 8):
+        around, passage = rnd.choice([0, 3, 30]), words(n)
+        docs.append((2 * k, " ".join(words(around) + passage + words(around))))
+        docs.append((2 * k + 1, " ".join(words(3) + passage + words(rnd.choice([3, 30])))))
+    docs += [(1000, "one two " + "spam " * 70), (1001, "spam " * 55 + "three")]
+    got = {r.doc_id: r for r in spans.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    missed = [k for k, _ in docs if k % 2 and len(got[k].text.split()) > len(dict(docs)[k].split()) - 20]
+    assert missed == []
+
+
+def test_stops_of_other_scripts():
+    import pyarrow as pa
+
+    assert [len(spans.sentences(pa.array([t])).row) for t in ("एक दो। तीन", "هل هذا؟ نعم", "一。 二！ 三", "é ü à")] == [2, 2, 3, 1]
