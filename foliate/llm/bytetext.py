@@ -11,7 +11,7 @@ import pyarrow as pa
 #: Multiplier of the polynomial word hash; odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,7 +35,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-class _Powers:
+class Powers:
     """Powers of BASE and of its inverse, grown as needed and kept for the next chunk."""
 
     up = np.ones(1, np.uint64)
@@ -70,7 +70,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit value for each word, equal for equal bytes wherever they stand."""
         n = len(self.data)
-        up, down = _Powers.to(n + 1)
+        up, down = Powers.to(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[self.data] * up[:n], out=total[1:])
         value = (total[self.ends] - total[self.starts]) * down[self.starts]

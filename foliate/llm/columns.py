@@ -12,15 +12,45 @@ from pyspark.sql import functions as F
 
 from .bytetext import CHUNK_BYTES, chunks
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
-def _released() -> None:
+
+def released() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, and keep it otherwise."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`rows.mapInArrow(run, schema)` in batches of bounded size, whose workers give their memory back when a task ends.
+
+    The bound is a setting of the session, lowered here where it is higher: without it ten thousand long texts are one batch.
+    """
+    spark = rows.sparkSession
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return rows.mapInArrow(held, schema)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores behind it as no column in `taken` has (in any case of letters)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def appended(docs: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """`docs` with the columns of `schema` (names and types, comma-separated) after its own.
 
@@ -36,11 +66,9 @@ def appended(docs: DataFrame, text: str, make: Callable[[], Callable[[pa.Array],
         work = make()
         for batch in chunks(batches, text, limit):
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(place))], [*batch.schema.names, *names])
-        del work
-        _released()
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{own}, {schema}")
+    return mapped(docs, run, f"{own}, {schema}")
 
 
 def row_id(key: str, text: str) -> Column:

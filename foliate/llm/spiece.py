@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import appended
-from .piececache import CachedEncoder
+from .piececache import CachedEncoder, Pieces, code_points, pieces
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct pieces kept: some 30 MB in a Python worker.
-CACHED = 150_000
 #: Threads of the library in one Python worker.
 THREADS = 2
+#: New pieces that the library gets in one string.
+JOINED = 64
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -130,11 +130,8 @@ def normaliser(model: Model):
     return run
 
 
-_RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
 class Codec:
-    """Encoder and decoder of one model."""
+    """Encoder and decoder of one model. `encode` flags the pieces that decode to themselves."""
 
     def __init__(self, buf: bytes, threads: int = THREADS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -143,10 +140,43 @@ class Codec:
         self.tokenizer = _base(self.model)
         self.normal = normaliser(self.model)
         # Words are independent unless a piece holds the marker behind another character.
-        apart = not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
-        split = (lambda t: _RUNS.findall(self.normal(t))) if apart else (lambda t: [s] if (s := self.normal(t)) else [])
-        self.encode = CachedEncoder(split, lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], cached=CACHED)
-        self.plain = np.array([kind in (NORMAL, USER) for _, _, kind in self.model.pieces])
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
+        self.spelling = [p if kind in (NORMAL, USER) else "" for p, _, kind in self.model.pieces]
+        self.marked = [p.startswith(SPACE) for p in self.spelling]
+        self.encode = CachedEncoder(self._cut, self._new)
+
+    def _cut(self, texts: list[str]) -> Pieces:
+        joined, codes, bounds = code_points([self.normal(t) for t in texts])
+        begins = np.zeros(len(codes), bool)
+        if self.apart:
+            marker = codes == ord(SPACE)
+            begins[1:] = marker[1:] & ~marker[:-1]
+        return pieces(joined, codes, bounds, begins)
+
+    def _new(self, names: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """Ids of new pieces, and whether they decode to them. Pieces with one marker, in front, go in rows of JOINED: each has the ids from one marker to the next."""
+        found: dict[int, list[int]] = {}
+        if self.apart:
+            single = [k for k, x in enumerate(names) if x[0] == SPACE and x.count(SPACE) == 1]
+            rows = [single[k : k + JOINED] for k in range(0, len(single), JOINED)]
+            for row, got in zip(rows, self.tokenizer.encode_batch_fast(["".join([names[k] for k in r]) for r in rows], add_special_tokens=False), strict=True):
+                ids = got.ids
+                cuts = [i for i, x in enumerate(ids) if self.marked[x]]
+                if len(cuts) == len(row) and cuts[0] == 0:
+                    found.update((k, ids[a:b]) for k, a, b in zip(row, cuts, [*cuts[1:], len(ids)], strict=True))
+        left = [k for k in range(len(names)) if k not in found]
+        found.update(zip(left, [e.ids for e in self.tokenizer.encode_batch_fast([names[k] for k in left], add_special_tokens=False)], strict=True))
+        out = [found[k] for k in range(len(names))]
+        good = np.array(["".join([self.spelling[i] for i in ids]) == name for ids, name in zip(out, names, strict=True)], bool)
+        # Bytes and unknown characters are spelled by the library alone.
+        other = np.flatnonzero(~good).tolist()
+        good[other] = [back == self.plain(names[k]) for k, back in zip(other, self.decode([out[k] for k in other]), strict=True)]
+        return out, good
+
+    def plain(self, normal: str) -> str:
+        """What the ids of a normalised text should decode to."""
+        out = normal.replace(SPACE, " ")
+        return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -170,17 +200,19 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
 
         def work(column: pa.Array) -> list[pa.Array]:
             texts = column.to_pylist()
-            flat, sizes = codec.encode(texts)
+            flat, sizes, good = codec.encode(texts)
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            raw = flat.astype("<u4").tobytes()
+            raw = flat.astype("<u4", copy=False).tobytes()
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))
             out = [ids, pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
-            if decode or check:
-                back = codec.decode(ids.to_pylist())
-                want = [codec.normal(t or "").replace(SPACE, " ") for t in texts]
-                same = [b == (w[1:] if codec.model.dummy_prefix else w) for b, w in zip(back, want, strict=True)]
-                out += [pa.array(back, pa.string())] * decode + [pa.array(same)] * check
+            if decode:
+                out.append(pa.array(codec.decode(ids.to_pylist()), pa.string()))
+            if check:
+                # Pieces that decode to themselves make up a text that does; only texts with others are decoded whole.
+                for r in np.flatnonzero(~good).tolist():
+                    good[r] = codec.decode([flat[ends[r] : ends[r + 1]].tolist()])[0] == codec.plain(codec.normal(texts[r] or ""))
+                out.append(pa.array(good))
             return out
 
         return work
