@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, Words, chunks, mixed, split
+from .columns import mapped
 
 SPAN = 13
 GRAM = 5
@@ -25,6 +26,7 @@ WINDOW = SPAN - GRAM + 1
 REACH = SPAN - GRAM
 #: Size of the Bloom filter over benchmark fingerprints, whatever their number: half a megabyte. A fuller filter passes more rows to the exact join.
 FILTER_BITS = 1 << 22
+MERGED = 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -123,7 +125,7 @@ def _fingerprints(texts: DataFrame, keys: list[str], only: np.ndarray | None, sh
             taken = [batch.column(i).take(pa.array(row)) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*taken, pa.array(counts[row].astype(np.int64)), *map(pa.array, (size, gram, within)), around], [*keys, "n_words", "size", "gram", "at", "around"])
 
-    return texts.mapInArrow(run, ", ".join([*fields, "n_words long, size int, gram long, at long, around binary"]))
+    return mapped(texts, run, ", ".join([*fields, "n_words long, size int, gram long, at long, around binary"]))
 
 
 def _filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -147,8 +149,9 @@ def _filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
                 sizes |= set(s)
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()]), pa.array([sorted(sizes)], pa.list_(pa.int32()))], ["bits", "sizes"])
 
+    # Partial filters are merged in two steps, so the last task reads MERGED of them at most.
     kind = "bits binary, sizes array<int>"
-    got = items.select("size", "gram").mapInArrow(run, kind).repartition(1).mapInArrow(merged, kind).collect()
+    got = mapped(mapped(mapped(items.select("size", "gram"), run, kind).repartition(MERGED), merged, kind).repartition(1), merged, kind).collect()
     bits, sizes = (np.frombuffer(got[0][0], np.uint8), got[0][1]) if got else (np.zeros(FILTER_BITS // 8, np.uint8), [])
     return bits, [n for n in sizes if n < SPAN]
 
@@ -180,7 +183,35 @@ def _extended(met: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([table["row_key"], table["n_words"], table["size"], item, *(pa.array(x, pa.int64(), mask=none) for x in (start, end))], ["row_key", "n_words", "size", "item", "from", "to"])
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
-    return met.mapInArrow(run, f"row_key {kinds['row_key']}, n_words long, size int, item {kinds['item_id']}, `from` long, `to` long")
+    return mapped(met, run, f"row_key {kinds['row_key']}, n_words long, size int, item {kinds['item_id']}, `from` long, `to` long")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """`rows` with `spans`, the union of their sorted `runs`, and the words in them, `n_hit`."""
+    place = rows.columns.index("runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(place)
+            sizes = np.asarray(runs.value_lengths().fill_null(0))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            flat = runs.flatten()
+            start, end = (np.asarray(flat.field(k), np.int64) for k in (0, 1))
+            # Rows are set apart by more than any of them holds, so one running maximum serves all.
+            far = row * (int(end.max(initial=0)) + 1)
+            top = np.maximum.accumulate(end + far) if len(end) else end
+            new = np.ones(len(start), bool)
+            new[1:] = (start[1:] + far[1:] > top[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(start)) - 1 if len(first) else first
+            a, b, owner = start[first], top[last] - far[last], row[first]
+            bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
+            spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["from", "to"]))
+            hit = np.bincount(owner, b - a, len(sizes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans, pa.array(hit)], [*batch.schema.names, "spans", "n_hit"])
+
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return mapped(rows, run, f"{own}, spans array<struct<`from`:bigint,to:bigint>>, n_hit long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
@@ -204,11 +235,5 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
         F.sort_array(F.collect_set(F.when(F.col("from").isNotNull(), F.struct("from", "to")))).alias("runs"),
         F.sort_array(F.collect_set("item")).alias("items"),
     )
-    def add(done, x):
-        last = F.element_at(done, -1)
-        grown = F.named_struct(F.lit("from"), last["from"], F.lit("to"), F.greatest(last["to"], x["to"]))
-        return F.when((F.size(done) > 0) & (last["to"] >= x["from"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
-
-    merged = F.aggregate("runs", F.array().cast("array<struct<from:bigint,to:bigint>>"), add)
-    out = per_row.select(F.col("row_key.k").alias(key), "n_words", merged.alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return out.select(key, "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"]).alias("n_hit"), "spans", "items")
+    out = _merged(per_row).select(F.col("row_key.k").alias(key), "n_words", "n_hit", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return out.drop("copy")
