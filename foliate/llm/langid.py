@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks
+from .columns import mapped
 
 DIM = 1024
 GRAM = 3
@@ -22,6 +23,8 @@ UNKNOWN = "und"
 CHUNK_BYTES = 128 << 10
 #: n-gram vectors kept between chunks; beyond this the cache starts anew, so memory does not grow with the text.
 CACHED = 40_000
+#: n-grams whose vectors are multiplied at once.
+BLOCK = 8192
 
 
 def held_out(key: Column, parts: int, remainder: int) -> Column:
@@ -71,6 +74,13 @@ class Encoder:
             where[k] = self.slot[g]
         return self.vectors[where]
 
+    def bundled(self, weights: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """`weights` times the vectors of the n-grams, a block of these at a time, so that a text of many distinct ones takes no more memory."""
+        out = np.zeros((len(weights), self.dim), np.float32)
+        for k in range(0, len(grams), BLOCK):
+            out += weights[:, k : k + BLOCK] @ self.vectors_of(grams[k : k + BLOCK]).astype(np.float32)
+        return out
+
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of the texts, and a row of counts for each text."""
         lowered = [f" {t.lower()} " if t else "  " for t in texts]
@@ -106,13 +116,13 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int =
             langs = batch.column(1).to_pylist()
             names = sorted(set(langs))
             weights = np.array([[x == n for x in langs] for n in names], np.float32) @ table
-            for name, vector in zip(names, weights @ encoder.vectors_of(grams).astype(np.float32), strict=True):
+            for name, vector in zip(names, encoder.bundled(weights, grams), strict=True):
                 sums[name] = sums.get(name, 0) + vector.astype(np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()])], ["lang", "v"])
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    parts = rows.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+    parts = mapped(rows, run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     sums = parts.groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():
@@ -136,7 +146,7 @@ def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "d
             grams, table = encoder.counts(batch.column(1).to_pylist())
             best, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if len(grams) and names:
-                vectors = table @ encoder.vectors_of(grams).astype(np.float32)
+                vectors = encoder.bundled(table, grams)
                 norm = np.linalg.norm(vectors, axis=1)
                 cosine = vectors @ matrix.T / np.maximum(norm, 1e-9)[:, None]
                 top = cosine.argmax(1)
@@ -147,7 +157,7 @@ def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "d
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return mapped(rows, run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def predicted(docs: DataFrame, learn_from: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
