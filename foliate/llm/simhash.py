@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, joined, split
+from .columns import mapped
 from .components import connected
 from .store import written
 
@@ -72,7 +73,7 @@ def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
             fp = fingerprints(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, fp long")
+    return mapped(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, f"key {kind.simpleString()}, fp long")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,12 +125,30 @@ def _links(group: np.ndarray, fp: np.ndarray, mask: int) -> list[tuple[int, int]
         for c in combinations(outside, MIN_BYTES - 3):
             sub = part & np.uint64(sum(0xFF << 8 * i for i in c))
             order = np.argsort(sub, kind="stable")
-            out += _pairs(sub[order], part[order], order + s, forest)
+            out += _cut(sub[order], part[order], order + s, forest, mask | sum(0xFF << 8 * i for i in c))
     few = np.repeat(sizes <= DENSE, sizes) & np.repeat(sizes > 1, sizes)
     at = np.flatnonzero(few)
     return out + _pairs(group[at], fp[at], at, forest)
 
 
+def _cut(group: np.ndarray, fp: np.ndarray, at: np.ndarray, forest: _Forest, mask: int) -> list[tuple[int, int]]:
+    """As _pairs, but runs longer than DENSE are cut by bits: they agree in the five bytes of `mask`, and of the eight threes of
+    bits in the other three bytes near fingerprints share five. As fingerprints are distinct, what shares those too is 512 at most."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(starts, len(group)))
+    long = np.repeat(sizes > DENSE, sizes)
+    out = _pairs(group[~long], fp[~long], at[~long], forest)
+    if long.any():
+        group, fp, at = group[long], fp[long], at[long]
+        free = [i for i in range(64) if not mask >> i & 1]
+        threes = [sum(1 << i for i in free[k : k + 3]) for k in range(0, len(free), 3)]
+        for c in combinations(threes, MIN_BYTES):
+            sub = fp & np.uint64(mask | sum(c))
+            order = np.argsort(sub, kind="stable")
+            out += _pairs(sub[order], fp[order], at[order], forest)
+    return out
+
+
 def _pairs(group: np.ndarray, fp: np.ndarray, at: np.ndarray, forest: _Forest) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     step, left = 1, np.arange(len(group))
@@ -172,7 +191,7 @@ def linked(distinct: DataFrame) -> DataFrame:
 
     slots = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("slot"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for k, m in enumerate(TRIPLES)])).alias("s")
     postings = distinct.select("fp", slots).select(F.col("s.slot").alias("slot"), F.col("fp").bitwiseAND(F.col("s.mask")).alias("part"), "fp")
-    return postings.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(run, "u long, v long")
+    return mapped(postings.repartition("slot", "part").sortWithinPartitions("slot", "part"), run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
