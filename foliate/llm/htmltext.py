@@ -11,15 +11,19 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import chunks
+from .columns import mapped
+from .store import written
 
 #: Elements whose content is never main text.
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea title head object canvas audio video dialog menu".split())
@@ -31,10 +35,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that may stay open; they are no containers here.
 LEAVES = frozenset("p li dd dt tr h1 h2 h3 h4 h5 h6 option caption legend summary".split())
 #: Names in class, id or role of parts that are not main text, and those that are so only outside the article.
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|adsense|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|sidebar|widget|menu|navigation|navbar|nav|breadcrumbs?|footer|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|respond|replies|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
+_NAMED = re.compile(r"(?:^|(?<!has)(?<!with)(?<!no)[_-]|\s)(?:ad|ads|adsense|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|sidebar|widget|menu|navigation|navbar|nav|breadcrumbs?|footer|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|respond|replies|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
 _NAMED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What a "<" begins: a comment, a declaration, or a tag with its slash, name and attributes up to the ">" outside quotes.
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Of an article or main element a whole class has to say so: "related-topic" is an article about something related.
+_NAMED_WHOLE = re.compile(r"(?:^|\s)(?:ad|advert|banner|sponsored|promo|related|recommended|comment|sidebar|widget|teaser)(?:$|\s)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 #: A page that holds at least this part of another's content, by characters, is its copy, which says nothing about a template.
 COPY_SHARE = 0.8
@@ -42,6 +50,8 @@ COPY_SHARE = 0.8
 SAME_SHARE = 0.02
 #: Pages on either side that are looked at.
 REACH = 2
+#: Rows of the sample for each range of pages.
+SAMPLED = 32
 
 
 @dataclass
@@ -57,6 +67,9 @@ def lines(page: str | None) -> list[Line]:
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, own: including what is around
     at, page = 0, page or ""
+    opened: Counter[str] = Counter()  # of the stack, by name
+    closed: dict[str, int] = {}  # where the search for a closing tag has found none: from there on there is none
+    quoted = True  # until a quote that never closes; from then on a tag ends with the next ">"
 
     def flush() -> None:
         if parts:
@@ -65,41 +78,68 @@ def lines(page: str | None) -> list[Line]:
             if text:
                 out.append(Line(text, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
+    def after(name: str, otherwise: int) -> int:
+        """The place behind the next closing tag of that name."""
+        if name not in closed:
+            if end := re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at):
+                return end.end()
+            closed[name] = at
+        return otherwise
+
+    while (begin := page.find("<", at)) >= 0:
+        m = _OPEN.match(page, begin)
+        if not m:  # a bare "<" is text
+            parts.append(page[at : begin + 1])
+            at = begin + 1
+            continue
         if not m[2]:
+            parts.append(page[at:begin])
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = page.find(mark, m.end())
+            at = end + len(mark) if end >= 0 else len(page)
             continue
+        rest = _REST.match(page, m.end()) if quoted else None
+        if rest is None:
+            quoted = False
+            end = page.find(">", m.end())
+            if end < 0:
+                break
+            attributes, then = page[m.end() : end], end + 1
+        else:
+            attributes, then = rest[0][:-1], rest.end()
+        parts.append(page[at:begin])
+        at = then
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCKS:
             flush()
         elif name in ("br", "td", "th"):
             parts.append(" ")
         if closing:
-            if any(s[0] == name for s in stack):
+            if opened[name]:
                 flush()
-                while stack.pop()[0] != name:
-                    pass
+                while (top := stack.pop()[0]) != name:
+                    opened[top] -= 1
+                opened[name] -= 1
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = after(name, len(page))
             continue
         dropped, own = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        names = " ".join(x for n in _NAMES.findall(m[3]) for x in n if x) if m[3] else ""
+        names = " ".join(x for n in _NAMES.findall(attributes) for x in n if x) if attributes else ""
         if name in DROPPED or (name == "header" and not own):
             dropped = True
-        elif name not in ("html", "body", "main") and ((names and (_NAMED.search(names) or (not own and _NAMED_OUTSIDE.search(names)))) or (m[3] and _HIDDEN.search(m[3]))):
+        elif name in OWN:
+            dropped = dropped or bool(names and _NAMED_WHOLE.search(names)) or bool(attributes and _HIDDEN.search(attributes))
+        elif name not in ("html", "body") and ((names and (_NAMED.search(names) or (not own and _NAMED_OUTSIDE.search(names)))) or (attributes and _HIDDEN.search(attributes))):
             dropped = True
         if name in BLOCKS and name not in LEAVES:
             stack.append((name, dropped, own or (name in OWN and not dropped)))
+            opened[name] += 1
         elif dropped and not (stack and stack[-1][1]):
             # A small element ruled out by its name ends with its own closing tag.
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else at
+            at = after(name, at)
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -107,7 +147,18 @@ def lines(page: str | None) -> list[Line]:
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
-    """Positions in `a` of a longest common subsequence with `b`."""
+    """Positions in `a` of a longest common subsequence with `b`: what both begin and end with, and in between by chains of matches."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    ends = {*range(head), *range(len(a) - tail, len(a))}
+    return ends | {i + head for i in _chained(a[head : len(a) - tail], b[head : len(b) - tail])}
+
+
+def _chained(a: list[str], b: list[str]) -> set[int]:
     places: dict[str, list[int]] = {}
     for j, x in enumerate(b):
         places.setdefault(x, []).append(j)
@@ -173,51 +224,96 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
+    """`rows` with `part`, a range of (host, path, key), and `context`: true in copies of the REACH rows before and after each range.
+
+    The bounds of the ranges come from a sample and only balance the load. They, and the first and last places of the ranges, are
+    all that reaches the driver: some tens of bytes for each range. The columns besides host, path and key are read once.
+    """
+    spark = rows.sparkSession
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["host", "path", "key"]
+    place = F.struct(*names)
+    keys = rows.select(*names)
+    n = keys.count()
+    if not n:
+        return rows.withColumns({"part": F.lit(0), "context": F.lit(False)}), parts
+    # By hash, so that a second run of the plan takes the same rows: about SAMPLED for each range, whatever the table's size.
+    some = keys.where(F.pmod(F.xxhash64(*names), F.lit(max(n // (parts * SAMPLED), 1))) == 0)
+    some = some.withColumn("b", F.ntile(parts).over(Window.orderBy(*names)))
+    bounds = some.groupBy("b").agg(F.min(place).alias("at")).where("b > 1").agg(F.sort_array(F.collect_set("at")).alias("bounds"))
+    bounds = F.broadcast(written(bounds, "page-bounds"))  # one row of less than `parts` places
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
+    # How many bounds are not greater, by halving.
+    count = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("bounds")) & (F.get(F.col("bounds"), at + step - 1) <= place), at + step).otherwise(at))
+    with_part = lambda df: df.crossJoin(bounds).withColumn("part", count).drop("bounds")
+    first, last = (F.row_number().over(Window.partitionBy("part").orderBy(*[f(c) for c in names])) for f in (F.asc, F.desc))
+    edges = with_part(keys.distinct()).select("*", first.alias("first"), last.alias("last")).where((F.col("first") <= REACH) | (F.col("last") <= REACH))
+    ends = sorted(((r.part, -r.last, r.host, r.path, r.key) for r in edges.collect()), key=lambda r: r[:2])
+    of = [r[0] for r in ends]
+    wanted = set()
+    for part in set(of):
+        lo, hi = bisect_left(of, part), bisect_right(of, part)
+        wanted |= {(*r[2:], part) for r in [*ends[max(lo - REACH, 0) : lo], *ends[hi : hi + REACH]]}
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    more = spark.createDataFrame(list(wanted), f"{kinds}, also int").groupBy(*names).agg(F.collect_list("also").alias("also"))
+    more = F.broadcast(more.select(*[F.col(c).alias(f"m_{c}") for c in names], "also"))  # 2 * REACH rows a range at most
+    own = F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("context")))
+    theirs = F.coalesce(F.transform("also", lambda p: F.struct(p.alias("to"), F.lit(True).alias("context"))), F.slice(own, 1, 0))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in names])
+    both = with_part(rows).join(more, same, "left").withColumn("x", F.explode(F.concat(own, theirs)))
+    return both.select(*rows.columns, F.col("x.to").alias("part"), F.col("x.context").alias("context")), parts
+
+
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(key, url, text): the main text of each page, empty where there is none.
 
-    One shuffle deals pages out by ranges of host and path, so a host of any size is spread over tasks; each task reads its range in
-    order and holds five pages. A page at the edge of a range, or of its host, has neighbours on one side or none; of the two pages
-    before and the two after, those with the longer common path come first, the nearer and then the later of equals. Null pages and URLs count as empty; pages without a host are no
-    partners. Repeated rows each get a row; other columns are not read.
+    Pages are dealt out by ranges of host, path and key, so a host of any size is spread over tasks; each task reads its ranges in
+    order and holds five pages. Copies of the rows next to a range come along, so that the result does not depend on where ranges
+    end. Of the two pages before and the two after, those with the longer common path come first, the nearer and then the later of
+    equals. Null pages and URLs count as empty; pages without a host are no partners. Repeated rows each get a row, and are each
+    other's neighbours, so a copy is passed over as any copy is. Other columns are not read.
     """
     place = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)", 2)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.lower(place).alias("host"), path.alias("path"), F.col(page).cast("string").alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[tuple] = []  # up to REACH pages before the one at `at`, it, and those after
-        at = 0
+        window: list[tuple] = []  # up to REACH pages before the one at `at`, it, and those after: all of one range
+        at, done = 0, []
 
-        def settled() -> tuple:
+        def settle() -> None:
             own = window[at]
+            if own[6]:
+                return
             near = [(-_prefix(x[3], own[3]), abs(i - at), i < at, x) for i, x in enumerate(window) if i != at and own[2] and x[2] == own[2]]
             near.sort(key=lambda x: x[:3])
-            return own[0], own[1], main_text(own[4], [x[3][4] for x in near])
+            done.append((own[0], own[1], main_text(own[7], [x[3][7] for x in near])))
 
-        def batch_of(done: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((kind, pa.string(), pa.string()))], ["key", "url", "text"])
-
-        kind = None
-        for batch in chunks(batches, "text", 1 << 20):
-            kind = batch.column(0).type
-            done = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                window.append((*row[:4], lines(row[4])))
+        for batch in chunks(batches, "text"):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if window and window[-1][5] != row[5]:
+                    for at in range(at, len(window)):
+                        settle()
+                    window, at = [], 0
+                window.append((*row, lines(row[4])))
                 if len(window) > at + REACH:
-                    done.append(settled())
+                    settle()
                     at += 1
                     if at > REACH:
                         del window[0]
                         at -= 1
             if done:
-                yield batch_of(done)
-        if at < len(window):
-            done = []
-            for at in range(at, len(window)):
-                done.append(settled())
-            yield batch_of(done)
-
-    near = rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    out = near.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, url string, text string")
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((batch.column(0).type, pa.string(), pa.string()))], ["key", "url", "text"])
+                done = []
+            kind_of_key = batch.column(0).type
+        for at in range(at, len(window)):
+            settle()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((kind_of_key, pa.string(), pa.string()))], ["key", "url", "text"])
+
+    ranged, parts = _ranges(rows)
+    near = ranged.repartition(parts, "part").sortWithinPartitions("part", "host", "path", "key", "text")
+    out = mapped(near, run, f"key {kind}, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text")

@@ -74,3 +74,50 @@ def test_large_template_and_copies_without_articles(spark):
     for pages in (range(2), range(7), (0, 1, 1, 2, 3)):
         assert _texts(spark, [page(i) for i in pages]) == [want(i) for i in pages]
     assert _texts(spark, [page(0), head, page(1), page(2)])[1] == ""
+
+
+def brute(rows):
+    """Every page beside all others of its host, sorted as a list."""
+    import re
+
+    cut = lambda url: (m[1].lower(), m[2]) if (m := re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)", url or "")) else ("", "")
+    order = sorted(((*cut(url), key, page or "", htmltext.lines(page)) for key, url, page in rows), key=lambda r: r[:4])
+    out = []
+    for i, (host, path, key, _, own) in enumerate(order):
+        near = [(-htmltext._prefix(order[j][1], path), abs(j - i), j < i, order[j][4]) for j in range(max(i - 2, 0), min(i + 3, len(order))) if j != i and host and order[j][0] == host]
+        out.append((key, htmltext.main_text(own, [x[3] for x in sorted(near, key=lambda x: x[:3])])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_matches_brute_force_for_any_number_of_partitions(spark, parts):
+    rnd = random.Random(9)
+    word = lambda: rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randrange(40))
+    block = lambda n: "".join(f"<p>{word()} {word()}</p>" for _ in range(n))
+    frames = {h: (block(4), block(3)) for h in ("a.example", "b.example", "c.example")}
+    rows = []
+    for i in range(150):
+        host = rnd.choice(["a.example"] * 5 + ["b.example", "c.example"])
+        body = block(rnd.randrange(6))
+        rows.append((i, rnd.choice([None, f"https://{host}/{rnd.choice('xyz')}/{rnd.randrange(60)}"]) if i % 9 == 0 else f"https://{host}/{rnd.choice('xyz')}/{rnd.randrange(60)}", frames[host][0] + (f"<article>{body}</article>" if i % 3 else body) + frames[host][1]))
+    rows += rows[5:9]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    got = sorted((r.page_id, r.text) for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(rows)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 40_000, '<a "' * 40_000 + ">", "<div>" * 40_000 + "</p>" * 40_000, "<span class=ad>" * 40_000, "<!--" * 40_000, "<" * 80_000):
+        began = time.perf_counter()
+        htmltext.lines(page)
+        assert time.perf_counter() - began < 2
+
+
+def test_names_that_only_mention_a_part():
+    text = lambda page: htmltext.main_text(htmltext.lines(page), None)
+    assert text('<div class="content has-sidebar"><article><p>kept</p></article></div>') == "kept"
+    assert text('<article class="post related-topic"><p>kept</p></article>') == "kept"
+    assert text('<div class="sidebar"><p>gone</p></div><p>kept</p>') == "kept"
