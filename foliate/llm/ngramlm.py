@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, mixed, split
+from .columns import mapped
 from .eliasfano import Trie
 from .store import written
 
@@ -36,14 +37,16 @@ PAIRS = 0.1
 ALPHA = 0.1
 #: Bounds of V1 / V, for training sets too small to tell.
 ONCE = (0.05, 0.95)
-#: Tokens of a batch at least, but for the last of a task; and of a shard on average.
+#: Tokens of a batch at least, but for the last of a task; and training tokens of a shard on average.
 BATCH_TOKENS = 1 << 20
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 START, END, PAD = (int(x) for x in mixed(np.arange(101, 104, dtype=np.uint64)))
 CONTEXT_BITS = 48
 #: Quantised values are steps of log10, 65535 standing for none.
 STEP = 1 / 4096
 NONE = 65535
+#: log10 of the least value: counts reach from 1 to nearly 1e16, probabilities from little over 1e-16 to 1.
+COUNTS, SHARES = 0.0, -(NONE - 1) * STEP
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -67,15 +70,15 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _quantised(p: np.ndarray) -> np.ndarray:
-    """Codes of positive numbers up to 1e8, from -8 in log10 on; NONE for zero."""
+def _quantised(p: np.ndarray, least: float) -> np.ndarray:
+    """Codes of positive numbers, from `least` in log10 on and sixteen decades up; NONE for zero."""
     with np.errstate(divide="ignore"):
-        code = np.rint((np.log10(p) + 8) / STEP)
+        code = np.rint((np.log10(p) - least) / STEP)
     return np.where(p > 0, np.clip(code, 0, NONE - 1), NONE).astype(np.uint16)
 
 
-def _value(code: np.ndarray) -> np.ndarray:
-    return np.where(code == NONE, 0.0, 10.0 ** (code * STEP - 8))
+def _value(code: np.ndarray, least: float) -> np.ndarray:
+    return np.where(code == NONE, 0.0, 10.0 ** (code * STEP + least))
 
 
 class Batch:
@@ -98,20 +101,22 @@ class Batch:
         trained = np.concatenate([trained, ~held])
         context = mixed(u * _PAIR + v) >> np.uint64(64 - CONTEXT_BITS)
         follow = w >> np.uint64(32)
-        order = np.lexsort((follow, context))
+        del u, v, w, two
+        order = np.lexsort((follow, context)).astype(np.int32)
         c, f = context[order], follow[order]
+        del context, follow
         new_c = np.concatenate([[True], c[1:] != c[:-1]])
         new = new_c | np.concatenate([[True], f[1:] != f[:-1]])
-        rank = np.cumsum(new) - 1
-        self.trigram = np.empty(len(order), np.int64)
+        rank = (np.cumsum(new) - 1).astype(np.int32)
+        self.trigram = np.empty(len(order), np.int32)
         self.trigram[order] = rank
         self.contexts = c[new_c]
         self.follow = f[new]
         self.pointers = np.append(np.flatnonzero(new_c[new]), len(self.follow))
         self.counts = np.bincount(rank, trained[order], len(self.follow)).astype(np.uint64)
-        self.context_of = np.cumsum(new_c[new]) - 1
+        self.context_of = (np.cumsum(new_c[new]) - 1).astype(np.int32)
         # The context (v, w) that begins at a token's predecessor is that of the trigram one place on.
-        after = np.arange(1, n + 1)
+        after = np.arange(1, n + 1, dtype=np.int32)
         after[ends - 1] = n + np.arange(len(ends))
         self.next = after
         self.words, self.word = np.unique(tokens, return_inverse=True)
@@ -167,7 +172,7 @@ def tokenised(docs: DataFrame, key: str, text: str, held_out: Column, batch_toke
         if tokens:
             yield done()
 
-    made = rows.mapInArrow(run, f"keys array<{kind}>, blob binary, n_docs long, n_tokens long")
+    made = mapped(rows, run, f"keys array<{kind}>, blob binary, n_docs long, n_tokens long")
     return written(made.withColumn("batch", F.monotonically_increasing_id()), "lm-batches")
 
 
@@ -186,7 +191,7 @@ def _asked(batches: DataFrame, shards: int) -> DataFrame:
                     out[2].append(_packed((steps[0], 8), (b.word_counts[w], 5), (steps[1], 6), (np.diff(p) if len(ctx) else ctx, 4), (b.follow[own], 4), (b.counts[own], 5)))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["shard", "batch", "blob"])
 
-    return batches.select("batch", "blob").mapInArrow(run, "shard int, batch long, blob binary")
+    return mapped(batches.select("batch", "blob"), run, "shard int, batch long, blob binary")
 
 
 class Shard:
@@ -209,8 +214,8 @@ class Shard:
         pointers = np.append(np.flatnonzero(new_c[new]), len(count))
         sizes = np.diff(pointers)
         total = np.add.reduceat(count, pointers[:-1]) if len(sizes) else np.zeros(0)
-        values = np.stack([_quantised(total), _quantised(DISCOUNT * sizes / np.maximum(total, 1))], 1)
-        share = _quantised((count - DISCOUNT) / np.repeat(total, sizes))
+        values = np.stack([_quantised(total, COUNTS), _quantised(DISCOUNT * sizes / np.maximum(total, 1), SHARES)], 1)
+        share = _quantised((count - DISCOUNT) / np.repeat(total, sizes), SHARES)
         self.trie = Trie(c[new_c], pointers, f[new], values, share)
 
     @staticmethod
@@ -246,7 +251,7 @@ def _answered(asked: DataFrame, shards: int) -> DataFrame:
         if held:
             yield done()
 
-    return asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, batch long, blob binary, kinds long, once long")
+    return mapped(asked.repartition(shards, "shard").sortWithinPartitions("shard"), run, "shard int, batch long, blob binary, kinds long, once long")
 
 
 def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", batch_tokens: int = BATCH_TOKENS) -> DataFrame:
@@ -272,7 +277,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         b = _batch(blob)
         got = [np.concatenate(x) for x in zip(*map(_unpacked, parts), strict=True)]
         count = got[0].astype(np.int64)[b.word]
-        total, spare, share = (_value(x.astype(np.int64)) for x in got[1:])
+        total, spare, share = (_value(x.astype(np.int64), least) for x, least in zip(got[1:], (COUNTS, SHARES, SHARES), strict=True))
         n = len(b.tokens)
         base = (count + ALPHA) / floor
         p1 = np.where(count > 0, (count - off) / max(n_tokens, 1), unknown)
@@ -305,4 +310,4 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
 
     both = batches.select("batch", F.lit(-1).alias("shard"), "keys", "blob").unionByName(answers.select("batch", "shard", F.lit(None).cast(f"array<{kind}>").alias("keys"), "blob"))
     meet = both.repartition("batch").sortWithinPartitions("batch", "shard")
-    return meet.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+    return mapped(meet, run, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
