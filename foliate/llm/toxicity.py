@@ -9,6 +9,7 @@ that they lack are found as words that separate labelled texts, and the weights
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks
+from .columns import mapped, released
+from .store import written
 
 #: Seed words of each class, in the languages of the corpus.
 SEEDS = {
@@ -34,12 +37,11 @@ CLASSES = ["other", *SEEDS]
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSIFIER = range(7)
 #: Bound of the labelled rows that the fit looks at, the first by a hash of their ids.
 MAX_LABELLED = 20_000
-#: Bounds of the words and stems ("abc*") that are looked at and that may be added to the insults, and what they
-#: need: toxic texts that hold them, and the log odds.
-MAX_CANDIDATES = 20_000
-MAX_LEARNED = 400
-MIN_TEXTS = 12
+#: What a word or stem ("abc*") has to be to join the insults: log odds, and a likelihood ratio that chance alone reaches for about
+#: one in as many as there are. Both follow the sample, so a rare word of a small one can pass, and none is cut off by number.
 MIN_LOG_ODDS = 3.2
+#: Likelihood ratio from which the sample can speak against a seed word: a chance of one in a thousand.
+CLEAR = 10.8
 STEMS = range(3, 9)
 #: A longer stem stands for a shorter one if it is in this share of its toxic texts.
 SAME = 0.95
@@ -131,7 +133,7 @@ def pruned(found: dict[str, tuple[int, float]]) -> dict[str, float]:
             continue
         best = max((x for x in found if x.startswith(bare) and x.endswith("*") and found[x][0] >= SAME * found[name][0]), key=len, default=name)
         kept[best] = min(found[best][1], 8.0)
-    return dict(sorted(kept.items(), key=lambda x: (-found[x[0]][0] * x[1], x[0]))[:MAX_LEARNED])
+    return dict(sorted(kept.items(), key=lambda x: (-found[x[0]][0] * x[1], x[0])))
 
 
 def seed_classes() -> dict[str, int]:
@@ -177,21 +179,23 @@ def _sampled(labels: DataFrame, key: str, label: str, learn: Column | None, limi
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    return rows.select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("y")).orderBy(F.xxhash64("key"), "key").limit(limit)
+    # Repeated labels of a key are one; toxic if any is.
+    return rows.groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("y")).orderBy(F.xxhash64("key"), "key").limit(limit)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", label: str = "toxic", text: str = "text", limit: int = MAX_LABELLED) -> Model:
     """A model from at most `limit` labelled rows, those first by a hash of their key, and the texts with these keys.
 
-    `learn` is a condition on the labels' rows. Only counts of words, and features of the sampled texts, reach the driver;
-    both are bounded. Without labels of both kinds the model keeps its seed words and plain prior weights.
+    `learn` is a condition on the labels' rows. Rows of equal key and text count once, and so do repeated labels. Only counts of telling
+    words, and features of the sampled texts, reach the driver; the sample bounds both. Without labels of both kinds, or without
+    documents, the model keeps its seed words and plain prior weights.
     """
     sample = F.broadcast(_sampled(labels, key, label, learn, limit))  # at most `limit` pairs of a key and a bit
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(sample, "key").select("text", "y").where(F.col("text").isNotNull())
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(sample, "key").where(F.col("text").isNotNull()).dropDuplicates(["key", "text"]).select("text", "y")
     model = Model(seed_classes())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 18):
             found: dict[str, list[int]] = {}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = set(tokens(t)) - _BREAKS
@@ -202,11 +206,15 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
     totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
     bad, good = int(totals.bad), int(totals.n - totals.bad)
     if bad and good:
-        counts = texts.mapInArrow(words, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        counts = mapped(texts, words, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        counts = written(counts, "toxic-words")
+        n, share = F.col("toxic") + F.col("clean"), bad / (bad + good)
         odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-        held = counts.where(F.col("toxic") + F.col("clean") >= MIN_TEXTS).select("w", odds.alias("odds"), "toxic")
-        # A word has to be evidence by itself: ordinary words of long texts reach the bound of texts, not that of the odds.
-        rows = held.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("toxic") >= MIN_TEXTS)).orderBy(F.desc("toxic"), "w").limit(MAX_CANDIDATES).collect()
+        part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        ratio = 2 * (part(F.col("toxic"), n * share) + part(F.col("clean"), n * (1 - share)))
+        held = counts.select("w", odds.alias("odds"), ratio.alias("ratio"), "toxic")
+        # A word has to be evidence by itself: ordinary words of long texts reach the ratio, not the odds.
+        rows = held.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("ratio") >= 2 * math.log(max(counts.count(), 2)))).select("w", "toxic", "odds").collect()
         for w, odds in pruned({r.w: (r.toxic, r.odds) for r in rows}).items():
             if w.endswith("*"):
                 model.stems[w[:-1]] = odds
@@ -214,7 +222,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
                 model.strength[w] = odds
                 model.classes.setdefault(w, INSULT)
         # Seed words that labelled clean texts hold as often are no evidence here.
-        for r in held.where(F.col("w").isin(sorted(w for w, c in seed_classes().items() if c in (INSULT, THREAT))) & (F.col("odds") < 0.5)).collect():
+        for r in held.where((F.col("ratio") >= CLEAR) & F.col("w").isin(sorted(w for w, c in seed_classes().items() if c in (INSULT, THREAT))) & (F.col("odds") < 0.5)).collect():
             model.classes[r.w] = OTHER
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +231,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
             yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in rows], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     # Equal feature rows are many, as most texts match nothing: their counts are what is fitted.
-    kinds = texts.mapInArrow(matched, "x array<double>, y int").groupBy("x").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).collect()
+    kinds = mapped(texts, matched, "x array<double>, y int").groupBy("x").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).collect()
     model.weights = _logistic(np.array([k.x for k in kinds]).reshape(-1, N_FEATURES), np.array([k.bad for k in kinds], float), np.array([k.n for k in kinds], float))
     return model
 
@@ -257,6 +265,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "
             # A text without any such word matches no clause, so its features are those of the empty one.
             rows = np.array([features(t, model) if t and hot.search(t.lower()) else empty for t in texts]).reshape(-1, N_FEATURES)
             yield pd.Series(1 / (1 + np.exp(-np.clip(rows @ model.weights, -30, 30))))
+        released()
 
     return docs.withColumn(name, score(F.col(text).cast("string")))
 
