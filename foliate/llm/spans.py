@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import SPACED, chunks, mixed, split
+from .columns import fresh, mapped
 from .store import written
 
 MIN_SENTENCES = 2
@@ -117,7 +118,7 @@ def spans(docs: DataFrame) -> DataFrame:
             own = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(s.hashes(a, b).view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(packed)], ["h", "key", "part", "at"])
 
-    return docs.mapInArrow(run, f"h long, key {docs.schema['key'].dataType.simpleString()}, part int, at long")
+    return mapped(docs, run, f"h long, key {docs.schema['key'].dataType.simpleString()}, part int, at long")
 
 
 def _cut(text: bytes, s: Sentences, r: int, gone: np.ndarray) -> str:
@@ -130,22 +131,30 @@ def _cut(text: bytes, s: Sentences, r: int, gone: np.ndarray) -> str:
     return kept.decode("utf-8", "surrogatepass").strip()
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with `text` freed of repeated spans, and three columns more: n_sentences, n_removed, and the removed sentences' numbers.
+ADDED = ("_sentences", "_removed_count", "_removed")
 
-    All columns are kept, so they must not be called `_sentences`, `_removed_count` or `_removed`, the names added. Null texts stay null.
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """`docs` with `text` freed of repeated spans, and three columns more, named by `added`: how many sentences the text had, how many are removed, and their numbers.
+
+    All columns are kept, whatever their names; only those in `added` must be new. Null texts stay null.
     Repeats inside one document count too. Rows with the same key and text are one document: they are changed alike, and each
     is returned. A null key counts as the least. Texts without a repeated span stay as they are, byte for byte; the others
     are trimmed of white space at their ends. An empty table gives an empty one.
     """
-    rows = docs.select(F.col(key).alias("key"), F.hash(text).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if clash := {c.lower() for c in added} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns are there already: {sorted(clash)}")
+    own_key, own_part, marks_name = (fresh(c, [*docs.columns, *added]) for c in ("_key", "_part", "_gone"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.hash(f"`{text}`").alias("part"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     found = spans(rows)
     first = found.groupBy("h").agg(F.min(F.struct("key", "part", "at")).alias("first"), F.max(F.struct("key", "part", "at")).alias("last"))
     # Spans found once are the bulk; a span twice in equal rows only has the same least and greatest place.
     repeated = written(first.where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first"), "repeated-spans")
+    # A span that a third of all documents hold is one key of this join; adaptive execution splits it.
     later = found.join(repeated, "h").where(~F.struct("key", "part", "at").eqNullSafe(F.col("first")))
-    gone = later.select("key", "part", "at").groupBy("key", "part").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("key", "_key").withColumnRenamed("part", "_part")
-    joined = docs.join(written(gone, "removed-spans"), F.col(key).eqNullSafe(F.col("_key")) & (F.hash(text) == F.col("_part")), "left").select(docs["*"], "_gone")
+    gone = written(later.groupBy("key", "part").agg(F.collect_set("at").alias("gone")), "removed-spans")
+    gone = gone.select(F.col("key").alias(own_key), F.col("part").alias(own_part), F.col("gone").alias(marks_name))
+    joined = docs.join(gone, docs[key].eqNullSafe(gone[own_key]) & (F.hash(docs[text]) == gone[own_part]), "left").select(docs["*"], gone[marks_name])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +171,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             columns = [*(batch.column(i) for i in range(batch.num_columns - 1))]
             columns[place] = pa.array(out, pa.string())
             columns += [pa.array(np.diff(s.at), pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "_sentences", "_removed_count", "_removed"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, _sentences long, _removed_count long, _removed array<long>")
+    return mapped(joined, run, f"{schema}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` array<long>")
