@@ -271,7 +271,7 @@ def brick_connectivity(spark, sf_dir):
 @query(f"WITH {_B}, m AS (SELECT *, nx < 0 OR nx > 3 OR ny < 0 OR ny > 2 AS out FROM bf) SELECT tree_id, face, CASE WHEN out THEN tree_id ELSE ny * 4 + nx END AS neigh_tree, CASE WHEN out THEN face ELSE CAST(xor(face, 1) AS INT) END AS neigh_face, CAST(0 AS INT) AS orientation, out AS is_boundary FROM m")
 def joined_by_vertices(spark, sf_dir):
     """The connections of a 4 x 3 brick found from its corners alone."""
-    return cmesh.joined_by_vertices(cmesh.brick(spark, 4, 3), 2)
+    return cmesh.joined_by_vertices(cmesh.brick(spark, 4, 3))
 
 
 @query("SELECT CAST(-1.0 AS DOUBLE) AS min_x, CAST(7.0 AS DOUBLE) AS max_x, CAST(0.5 AS DOUBLE) AS min_y, CAST(6.5 AS DOUBLE) AS max_y, CAST(2.0 AS DOUBLE) AS min_z, CAST(2.0 AS DOUBLE) AS max_z")
@@ -300,7 +300,7 @@ _L = f"l AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END
 def octree_of_lineitems(spark, sf_dir):
     """An octree for each return flag over day, price and quantity."""
     rows = pt.lineitems(spark, sf_dir).select("tree_id", morton.ancestor(F.col("id"), 6, 4, 3).alias("id"))
-    return fo.by_count(rows, 3, 4, 200).leaves.select("tree_id", "level", "id", "n")
+    return fo.by_count(rows, eclass.HEX, 4, 200).leaves.select("tree_id", "level", "id", "n")
 
 
 @query(f"{_U5}, c AS (SELECT {_LX} AS x, {_LY} AS y, id, CAST(n AS DOUBLE) AS v FROM n) SELECT a.id, round(a.v - 0.01 * (0.5 * 32 * (a.v - coalesce(w.v, 0)) + CASE WHEN a.x = 31 THEN -0.5 * 32 * a.v ELSE 0 END + 0.25 * 32 * (a.v - coalesce(s.v, 0)) + CASE WHEN a.y = 31 THEN -0.25 * 32 * a.v ELSE 0 END), 6) AS v FROM c a LEFT JOIN c w ON w.x = a.x - 1 AND w.y = a.y LEFT JOIN c s ON s.y = a.y - 1 AND s.x = a.x")
@@ -318,11 +318,11 @@ def forest_profile(spark, sf_dir):
     return leaves.groupBy("level").agg(F.count("*").alias("leaves"), F.sum("n").alias("points"), F.max("n").alias("most"), F.round(F.sum("volume"), 9).alias("volume"))
 
 
-@query(f"WITH {TREE} SELECT d.level, d.id, EXISTS (SELECT 1 FROM leaves l WHERE l.level = d.level AND l.id = d.id) AS is_leaf, EXISTS (SELECT 1 FROM split s WHERE s.level = d.level AND s.id = d.id) AS has_leaf_desc FROM (SELECT level, id FROM cells WHERE level <= 5) d")
+@query(f"WITH {TREE} SELECT d.level, d.id, EXISTS (SELECT 1 FROM leaves l WHERE l.level = d.level AND l.id = d.id) AS is_leaf, EXISTS (SELECT 1 FROM split s WHERE s.level = d.level AND s.id = d.id) AS has_leaf_desc FROM (SELECT level, id FROM cells) d")
 def leaf_predicates(spark, sf_dir):
     """Whether elements that hold events are leaves, or have leaves below them."""
-    f = _tree(spark, sf_dir)
-    asked = fo.counted(_deep(spark, sf_dir), 2, DEPTH).where("level <= 5").select("level", "id")
+    f = fo.stored(_tree(spark, sf_dir))
+    asked = fo.counted(_deep(spark, sf_dir), 2, DEPTH).select("level", "id")
     leaves = f.leaves.select("level", "id", F.lit(True).alias("_leaf"))
     above = fo.ancestors(f.leaves.select("level", "id"), 2).where("at_level < level").select(F.col("at_level").alias("level"), F.col("at_id").alias("id"), F.lit(True).alias("_above")).distinct()
     found = asked.join(leaves, ["level", "id"], "left").join(above, ["level", "id"], "left")

@@ -52,6 +52,9 @@ SAME_SHARE = 0.02
 REACH = 2
 #: Rows of the sample for each range of pages.
 SAMPLED = 32
+#: Pages of a range, as far as there are no more than MOST_RANGES, whose bounds one broadcast holds; beyond that ranges grow, and are sorted on disk.
+RANGE_PAGES = 2048
+MOST_RANGES = 50_000
 
 
 @dataclass
@@ -231,11 +234,11 @@ def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
     all that reaches the driver: some tens of bytes for each range. The columns besides host, path and key are read once.
     """
     spark = rows.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["host", "path", "key"]
     place = F.struct(*names)
     keys = rows.select(*names)
     n = keys.count()
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(n // RANGE_PAGES, MOST_RANGES))
     if not n:
         return rows.withColumns({"part": F.lit(0), "context": F.lit(False)}), parts
     # By hash, so that a second run of the plan takes the same rows: about SAMPLED for each range, whatever the table's size.
