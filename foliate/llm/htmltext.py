@@ -53,8 +53,10 @@ REACH = 2
 #: Rows of the sample for each range of pages.
 SAMPLED = 32
 #: Pages of a range, as far as there are no more than MOST_RANGES, whose bounds one broadcast holds; beyond that ranges grow, and are sorted on disk.
-RANGE_PAGES = 2048
+RANGE_PAGES = 256
 MOST_RANGES = 50_000
+#: Ranges that a task gets on average: several even out.
+RANGES_A_TASK = 8
 
 
 @dataclass
@@ -228,7 +230,7 @@ def _prefix(a: str, b: str) -> int:
 
 
 def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
-    """`rows` with `part`, a range of (host, path, key), and `context`: true in copies of the REACH rows before and after each range.
+    """`rows` with `part`, a range of (host, path, key), and `context`: true in copies of the REACH rows before and after each range; and into how many tasks to deal the ranges.
 
     The bounds of the ranges come from a sample and only balance the load. They, and the first and last places of the ranges, are
     all that reaches the driver: some tens of bytes for each range. The columns besides host, path and key are read once.
@@ -238,9 +240,11 @@ def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
     place = F.struct(*names)
     keys = rows.select(*names)
     n = keys.count()
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(n // RANGE_PAGES, MOST_RANGES))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(RANGES_A_TASK * tasks, min(n // RANGE_PAGES, MOST_RANGES))
+    tasks = max(tasks, parts // RANGES_A_TASK)
     if not n:
-        return rows.withColumns({"part": F.lit(0), "context": F.lit(False)}), parts
+        return rows.withColumns({"part": F.lit(0), "context": F.lit(False)}), 1
     # By hash, so that a second run of the plan takes the same rows: about SAMPLED for each range, whatever the table's size.
     some = keys.where(F.pmod(F.xxhash64(*names), F.lit(max(n // (parts * SAMPLED), 1))) == 0)
     some = some.withColumn("b", F.ntile(parts).over(Window.orderBy(*names)))
@@ -265,7 +269,7 @@ def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
     theirs = F.coalesce(F.transform("also", lambda p: F.struct(p.alias("to"), F.lit(True).alias("context"))), F.slice(own, 1, 0))
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in names])
     both = with_part(rows).join(more, same, "left").withColumn("x", F.explode(F.concat(own, theirs)))
-    return both.select(*rows.columns, F.col("x.to").alias("part"), F.col("x.context").alias("context")), parts
+    return both.select(*rows.columns, F.col("x.to").alias("part"), F.col("x.context").alias("context")), tasks
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -316,7 +320,7 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((kind_of_key, pa.string(), pa.string()))], ["key", "url", "text"])
 
-    ranged, parts = _ranges(rows)
-    near = ranged.repartition(parts, "part").sortWithinPartitions("part", "host", "path", "key", "text")
+    ranged, tasks = _ranges(rows)
+    near = ranged.repartition(tasks, "part").sortWithinPartitions("part", "host", "path", "key", "text")
     out = mapped(near, run, f"key {kind}, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text")
