@@ -214,8 +214,12 @@ def leaf_neighbours(forest: Forest, tree_faces: DataFrame | None = None) -> Data
     met = up.join(there, ["neigh_tree", "n_level", "n_id"])
     n_face = topology.ancestor_face(eclass, F.col("neigh_id"), F.col("level"), F.col("n_level"), F.col("dual"))
     met = met.select("tree_id", "level", "id", "face", F.col("neigh_tree").alias("n_tree"), "n_level", "n_id", n_face.cast("int").alias("n_face"))
-    finer = met.where("n_level < level").select(F.col("n_tree").alias("tree_id"), F.col("n_level").alias("level"), F.col("n_id").alias("id"), F.col("n_face").alias("face"), F.col("tree_id").alias("n_tree"), F.col("level").alias("n_level"), F.col("id").alias("n_id"), F.col("face").alias("n_face"))
-    return met.unionByName(finer)
+    names = ["tree_id", "level", "id", "face"]
+    others = ["n_tree", "n_level", "n_id", "n_face"]
+    # Each row as it is, and with the sides changed where the neighbour is coarser: in one pass over the join.
+    own_way = F.struct(*names, *others)
+    other_way = F.struct(*[F.col(o).alias(n) for n, o in zip(names, others, strict=True)], *[F.col(n).alias(o) for n, o in zip(names, others, strict=True)])
+    return met.select(F.explode(F.when(F.col("n_level") < F.col("level"), F.array(own_way, other_way)).otherwise(F.array(own_way))).alias("p")).select("p.*")
 
 
 def balance(forest: Forest, tree_faces: DataFrame | None = None) -> Forest:
@@ -412,7 +416,7 @@ def unique_faces(forest: Forest, tree_faces: DataFrame | None = None) -> DataFra
     """Each face once: (kind, tree_id, level, id, face), kind being boundary, conformal (kept from the side that comes first) or mortar (from the coarser side)."""
     own = forest.leaves.select("tree_id", "level", "id")
     outer = topology.face_neighbours(own, forest.eclass, tree_faces).where("neigh_id is null").select(F.lit("boundary").alias("kind"), "tree_id", "level", "id", "face")
-    pairs = leaf_neighbours(forest, tree_faces)
+    pairs = written(leaf_neighbours(forest, tree_faces), "face-pairs")
     first = F.struct("tree_id", "id", "face") < F.struct(F.col("n_tree").alias("tree_id"), F.col("n_id").alias("id"), F.col("n_face").alias("face"))
     equal = pairs.where((F.col("level") == F.col("n_level")) & first).select(F.lit("conformal").alias("kind"), "tree_id", "level", "id", "face")
     mortar = pairs.where("n_level > level").select(F.lit("mortar").alias("kind"), "tree_id", "level", "id", "face").distinct()

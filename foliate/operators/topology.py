@@ -83,12 +83,16 @@ def _boxes(cells: DataFrame, eclass: int) -> DataFrame:
     faced = faced.withColumns(dict(zip(to, morton.face_neighbour(list(map(F.col, at)), F.col("face")), strict=True)))
     inside = morton.inside(list(map(F.col, to)), F.col("level"))
     size = shl(F.lit(1), F.col("level"))
-    faced = faced.withColumn("_root", F.when(~inside, F.col("face")))
-    own = {"neigh_id": F.when(inside, morton.encode(*[F.pmod(F.col(c).cast("long"), size) for c in to])), "dual": F.when(inside, F.col("face").bitwiseXOR(F.lit(1)))}
     # The middle of the face, for those that go on in another tree.
     middle = [F.when(F.col("face") == 2 * a, F.col(c)).when(F.col("face") == 2 * a + 1, F.col(c) + 1).otherwise(F.col(c) + 0.5) / size for a, c in enumerate(at)]
     out = [F.when(F.col("face") == 2 * a, -1.0).when(F.col("face") == 2 * a + 1, 1.0).otherwise(0.0) for a in range(dim)]
-    return faced.withColumns(own | {"_mid": F.array(*middle), "_out": F.array(*out)}).drop(*at, *to)
+    found = {"_root": F.when(~inside, F.col("face")), "neigh_id": F.when(inside, morton.encode(*[F.pmod(F.col(c).cast("long"), size) for c in to])), "dual": F.when(inside, F.col("face").bitwiseXOR(F.lit(1))), "_mid": F.array(*middle), "_out": F.array(*out)}
+    return faced.select(*cells.columns, "face", _kept(found))
+
+
+def _kept(found: dict[str, Column]) -> Column:
+    """Columns worked out once: made into rows of a generator, through which filters on them are not pushed, with copies of what they name."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()])))
 
 
 def _shapes(cells: DataFrame, eclass: int) -> DataFrame:
@@ -98,9 +102,9 @@ def _shapes(cells: DataFrame, eclass: int) -> DataFrame:
     faced = faced.withColumn("face", F.explode(F.sequence(F.lit(0), elements.n_faces(eclass, F.col("_at")) - 1)))
     points = F.transform(elements.face_corners(eclass, F.col("_at"), F.col("face")), lambda c: F.get(F.col("_points"), c))
     faced = faced.withColumn("_points", elements.corners(eclass, F.col("_at"), F.col("level"))).withColumn("_mid", elements.mean(points, dim)).drop("_points")
-    faced = faced.withColumns({"_out": elements.step_out(eclass, F.col("_at"), F.col("face")), "_root": elements.tree_face(eclass, F.col("_at"), F.col("level"), F.col("face"))})
+    faced = faced.select(*cells.columns, "face", "_mid", _kept({"_out": elements.step_out(eclass, F.col("_at"), F.col("face")), "_root": elements.tree_face(eclass, F.col("_at"), F.col("level"), F.col("face"))}))
     there = elements.at_point(eclass, [_beyond(a) for a in range(dim)], F.col("level"))
-    faced = faced.withColumn("neigh_id", F.when(F.col("_root").isNull(), there)).drop("_at")
+    faced = faced.select(*cells.columns, "face", "_mid", "_out", "_root", _kept({"neigh_id": F.when(F.col("_root").isNull(), there)}))
     return _with_dual(faced, eclass, "_mid")
 
 
