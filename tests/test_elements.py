@@ -165,44 +165,3 @@ def test_vertex_class_and_faces(spark):
     faces = geometry.with_faces(fo.uniform(trees, HEX, 1, 2).leaves, trees, HEX)
     total = faces.groupBy("id").agg(*[F.sum(F.col("face_area") * F.get("face_normal", F.lit(a))).alias(f"n{a}") for a in range(3)]).collect()
     assert len(total) == 8 and all(abs(r[k]) < 1e-12 for r in total for k in (1, 2, 3))
-
-
-def test_meshes(spark):
-    assert cmesh.hypercube_hybrid(spark).count() == 16 and cmesh.negative_volumes(cmesh.hypercube_hybrid(spark)).isEmpty()
-    joined = cmesh.joined_by_vertices(cmesh.hypercube_hybrid(spark))
-    assert cmesh.inconsistent_faces(joined).isEmpty()
-    # Of the cube's six sides each has four quarters; two of these are cut into triangles on the sides that touch the tets, and one at the prisms' ends.
-    assert joined.where("is_boundary").count() == 3 * (3 + 2) + 3 * (3 + 2)
-    assert cmesh.joined_by_vertices(cmesh.spherical_surface(spark, "icosahedron")).where("is_boundary").isEmpty()
-    assert cmesh.spherical_surface(spark, "icosahedron").count() == 20
-    shell = cmesh.spherical_shell(spark, "octahedron", 1.0, 0.5, 2)
-    assert shell.count() == 16 and cmesh.negative_volumes(shell).isEmpty()
-    for mesh in (cmesh.prism_cake(spark, 5), cmesh.pyramid_cake(spark, 5)):
-        assert cmesh.joined_by_vertices(mesh).where("not is_boundary").count() == 10 and cmesh.negative_volumes(mesh).isEmpty()
-    for c in (TET, PRISM, PYRAMID, HEX):
-        assert cmesh.negative_volumes(cmesh.hypercube(spark, c)).isEmpty()
-    trees, faces = cmesh.disjoint_bricks(spark, 3, 2, 2)
-    assert trees.count() == 12 and faces.where("not is_boundary").count() == 3 * 8
-    full = cmesh.joined_by_vertices(cmesh.full_hybrid(spark))
-    assert full.where("not is_boundary").count() == 8
-    numbered = cmesh.with_global_vertices(cmesh.brick(spark, 2, 2))
-    assert cmesh.vertex_trees(numbered).count() == 9 and cmesh.vertex_trees(numbered).where("n_trees = 4").count() == 1
-    moved = cmesh.displaced(numbered, cmesh.vertex_trees(numbered).where("n_trees = 4").select("vertex", F.array(*[F.lit(0.25)] * 3).alias("shift")))
-    assert moved.where(F.exists("vertices", lambda v: v == F.array(*[F.lit(x) for x in (1.25, 1.25, 0.25)]))).count() == 4
-    assert cmesh.same(moved.select("tree_id", "eclass", "vertices"), moved) and not cmesh.same(moved, numbered)
-
-
-def test_search_with_pruning_and_owners(spark):
-    f = fo.uniform(cmesh.one(spark, TRIANGLE), TRIANGLE, 3, 5)
-    everything = fo.top_down(f, spark.createDataFrame([(0, 7)], "tree_id long, query int"), lambda c, id, level: F.lit(True))
-    assert everything.count() == 64
-    first = fo.top_down(f, spark.createDataFrame([(0, 0), (0, 1)], "tree_id long, query int"), lambda c, id, level: (level == 0) | (F.col("query") == 0) | (id == 0))
-    assert {r["query"]: r["n"] for r in first.groupBy("query").agg(F.count("*").alias("n")).collect()} == {0: 64, 1: 1}
-    ranked = fo.partition(f, 3).cache()
-    begins = fo.offsets(ranked, 3)
-    owned = fo.owners(ranked.select("tree_id", "level", "id", "rank"), f, begins)
-    assert owned.where("first_owner <> rank or last_owner <> rank").isEmpty()
-    roots = fo.owners(cmesh.one(spark, TRIANGLE).select("tree_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("id")), f, begins).first()
-    assert (roots.first_owner, roots.last_owner) == (0, 2)
-    at_face = fo.leaves_at_face(f, spark.createDataFrame([(0, 0, 0, k) for k in range(3)], "tree_id long, level int, id long, face int"))
-    assert [r[1] for r in sorted(at_face.groupBy("face").count().collect())] == [8, 8, 8]
