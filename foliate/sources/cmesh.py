@@ -208,7 +208,7 @@ def full_hybrid(spark: SparkSession) -> DataFrame:
     """A hex, a pyramid on its top, and beside the hex a prism with a tet on it: one tree of each solid class, joined face to face."""
     cube, tip = _cube(), [1, 1, 2]
     prism = [[1, 0, 0], [2, 0, 0], [1, 1, 0], [1, 0, 1], [2, 0, 1], [1, 1, 1]]
-    return _trees(spark, [(eclass.HEX, cube), (eclass.PYRAMID, [*cube[4:], tip]), (eclass.PRISM, prism), (eclass.TET, [*prism[3:], tip])])
+    return _trees(spark, [(eclass.HEX, cube), (eclass.PYRAMID, [*cube[4:], tip]), (eclass.PRISM, prism), (eclass.TET, [prism[3], prism[5], prism[4], tip])])
 
 
 def octahedron(radius: float = 1.0) -> list[list[list[float]]]:
