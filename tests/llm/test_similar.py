@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from foliate.llm import similar
 
@@ -49,3 +51,70 @@ def test_links_need_four_fifths(spark):
 
 def test_empty_table(spark):
     assert similar.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_index_finds_what_all_pairs_find(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (60, 64), np.uint8)
+    signs = np.repeat(base, 12, axis=0)
+    for row in signs[::2]:  # the others are farther from each other, or share few bytes
+        for at in rng.integers(0, 64, 9):
+            row[at] ^= 1 << rng.integers(8)
+    for row in signs[1::4]:
+        row ^= (rng.random(64) < 0.9).astype(np.uint8)
+    signs = np.concatenate([signs, rng.integers(0, 256, (300, 64), np.uint8)])
+    signs = np.unique(signs[rng.permutation(len(signs))].view(np.uint64).reshape(-1, 8), axis=0)
+    a, b = np.triu_indices(len(signs), 1)
+    x = signs[a] ^ signs[b]
+    shared = x.view(np.uint8).reshape(-1, 8, 8) == 0
+    near = (shared.sum((1, 2)) >= similar.MIN_BYTES) & (np.bitwise_count(x).sum(1) <= similar.RADIUS) & (np.bitwise_count(x[:, :2]).sum(1) <= similar.RADIUS_2)
+    met = near & (shared.sum(2) >= 2).any(1)
+    assert met.sum() > 500 and (near & (shared.sum((1, 2)) >= 9)).sum() <= met.sum()
+
+    def classes(edges):
+        label = np.arange(len(signs))
+        for u, v in edges:
+            x, y = sorted((label[u], label[v]))
+            label[label == y] = x
+        return label.tolist()
+
+    # Rows of the index in the order of their slots, as a task reads them.
+    slot = (similar._LISTED << 8 | signs.view(np.uint8).reshape(-1, 64)[:, similar._LISTED]).ravel()
+    own = np.repeat(np.arange(len(signs)), len(similar._LISTED))
+    order = np.argsort(slot, kind="stable")
+    for dense in (similar.DENSE, 2):
+        monkeypatch.setattr(similar, "DENSE", dense)
+        texts, least = similar._linked(slot[order], own[order], signs[own[order]])
+        assert classes(zip(texts, least, strict=True)) == classes(zip(a[met], b[met], strict=True))
+        assert len(texts) == len(signs) - len(set(classes(zip(a[met], b[met], strict=True))))
+
+
+def test_fingerprints_follow_the_majority():
+    sets = [[5], [1, 2, 3, 4], list(range(1, 600)), []]
+    at = np.cumsum([0, *map(len, sets)])
+    got = similar.fingerprints(np.array([v for s in sets for v in s], np.uint64), at)
+    for row, values in zip(got, sets, strict=True):
+        for w, seed in enumerate(similar._SEEDS):
+            h = similar.mixed(np.array(values, np.uint64) ^ seed)
+            for bit in range(64):
+                vote = int(similar._VOTE[64 * w + bit])
+                twice = 2 * (int((h >> np.uint64(bit) & np.uint64(1)).sum()) + vote)
+                assert int(row[w]) >> bit & 1 == (twice > len(values) + 1 or twice == len(values) + 1 and similar._TIE[64 * w + bit])
+
+
+def test_simhash_index_misses_no_link_of_four_fifths(spark):
+    rnd = random.Random(9)
+    docs, pairs = [], 0
+    for i in range(1500):  # sizes from eight words on: the smallest sets that can be near another
+        words = [f"w{rnd.randrange(10**7)}" for _ in range(rnd.choice([8, 9, 12, 30, 60, 150]))]
+        copy = words + ["more"] if len(words) < 20 else list(words)
+        while len(words) >= 20 and jaccard(sets(" ".join(words)), sets(" ".join(copy))) > 0.87:
+            copy[rnd.randrange(len(copy))] = "edited"
+        if jaccard(sets(" ".join(words)), sets(" ".join(copy))) >= 0.8:
+            docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+            pairs += 1
+    assert pairs > 900
+    rows = similar.prints(spark.createDataFrame(docs, "key long, text string")).cache()
+    of = {r.fp: r.key for r in rows.collect()}
+    assert {tuple(sorted((of[e.u], of[e.v]))) for e in similar.linked(rows).collect()} == {(2 * i, 2 * i + 1) for i in {k // 2 for k, _ in docs}}
+    assert len(docs) == 2 * pairs
