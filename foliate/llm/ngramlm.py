@@ -70,6 +70,15 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, the most frequent first, and the place of each value among them: mostly small, so that few bytes of it tell."""
+    distinct, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.arange(len(order), dtype=np.uint64)
+    return distinct[order], rank[at]
+
+
 def _quantised(p: np.ndarray, least: float) -> np.ndarray:
     """Codes of positive numbers, from `least` in log10 on and sixteen decades up; NONE for zero."""
     with np.errstate(divide="ignore"):
@@ -133,9 +142,8 @@ class Batch:
 
 
 def _stored(tokens: list[np.ndarray], sizes: list[np.ndarray], held: list[np.ndarray]) -> bytes:
-    flat = np.concatenate(tokens)
-    words, at = np.unique(flat, return_inverse=True)
-    return _packed((words, 8), (at.astype(np.uint64), 4), (np.concatenate(sizes).astype(np.uint64), 4), (np.concatenate(held).astype(np.uint64), 1))
+    words, at = _ranked(np.concatenate(tokens))
+    return _packed((words, 8), (at, 4), (np.concatenate(sizes).astype(np.uint64), 4), (np.concatenate(held).astype(np.uint64), 1))
 
 
 def _batch(blob: bytes) -> Batch:
@@ -230,7 +238,15 @@ class Shard:
         found = np.where((at >= 0)[:, None], values[at], NONE) if len(values) else np.full((len(at), 2), NONE)
         place = self.trie.find_successors(np.repeat(at, sizes), follow)
         share = np.where(place >= 0, self.trie.successor_values[place], NONE) if self.trie.successors.n else np.full(len(place), NONE)
-        return _packed((self.counts[np.searchsorted(self.words, words)], 5), (found[:, 0], 2), (found[:, 1], 2), (share, 2))
+        pairs, shares = _ranked(found[:, 0].astype(np.uint32) << 16 | found[:, 1].astype(np.uint32)), _ranked(share)
+        return _packed((self.counts[np.searchsorted(self.words, words)], 5), (pairs[0], 4), (pairs[1], 4), (shares[0], 2), (shares[1], 4))
+
+    @staticmethod
+    def answered(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the words, codes of the contexts' totals and of the mass that they spare, and of the trigrams' shares."""
+        counts, pairs, at, shares, place = _unpacked(blob)
+        pair = pairs[at.astype(np.int64)]
+        return counts, pair >> np.uint64(16), pair & np.uint64(0xFFFF), shares[place.astype(np.int64)]
 
 
 def _answered(asked: DataFrame, shards: int) -> DataFrame:
@@ -266,7 +282,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     trained = batches.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     n_docs, n_tokens = int(trained[0]), int(trained[1])
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_tokens // SHARD_TOKENS + 1)
-    answers = written(_answered(_asked(batches, shards), shards), "lm-answers")
+    answers = written(_answered(_asked(batches, shards), shards), "lm-answers", clean=True)
     by_shard = answers.groupBy("shard").agg(F.max("kinds").alias("k"), F.max("once").alias("o"))
     n_kinds, n_once = map(int, by_shard.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first())
     floor = n_tokens + ALPHA * (n_kinds + 1)
@@ -275,7 +291,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
 
     def score(keys: pa.Array, blob: bytes, parts: list[bytes]) -> pa.RecordBatch:
         b = _batch(blob)
-        got = [np.concatenate(x) for x in zip(*map(_unpacked, parts), strict=True)]
+        got = [np.concatenate(x) for x in zip(*map(Shard.answered, parts), strict=True)]
         count = got[0].astype(np.int64)[b.word]
         total, spare, share = (_value(x.astype(np.int64), least) for x, least in zip(got[1:], (COUNTS, SHARES, SHARES), strict=True))
         n = len(b.tokens)
